@@ -1,39 +1,45 @@
-"""A Bloom filter made of built-in expressions only."""
+"""A blocked Bloom filter made of built-in expressions only."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HASHES = 3
+#: A key sets so many bits, all in one block of WORDS longs.
+HASHES, WORDS = 3, 4
 
 
-def _place(key: Column, i: int, words: int) -> tuple[Column, Column]:
-    h = F.xxhash64(key, F.lit(i))
-    return F.pmod(F.shiftrightunsigned(h, 6), F.lit(words)).cast("int"), h.bitwiseAND(F.lit(63)).cast("int")
+def _block(key: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
 
 
-class BloomFilter:
-    """Bits of all keys of a column, as one row of `bits / 64` longs that Spark sends to the executors with the plan.
+def _masks(key: Column) -> list[Column]:
+    """For each word of the block the bits that the key sets in it: eight bits of a second hash name the word and the bit."""
+    h = F.xxhash64(key, F.lit(1))
+    probes = [F.shiftrightunsigned(h, 8 * i) for i in range(HASHES)]
+    one, no = F.lit(1).cast("long"), F.lit(0).cast("long")
+    out = []
+    for w in range(WORDS):
+        mask = no
+        for p in probes:
+            bit = F.call_function("shiftleft", one, p.bitwiseAND(F.lit(63)).cast("int"))
+            mask = mask.bitwiseOR(F.when(F.shiftrightunsigned(p, 6).bitwiseAND(F.lit(WORDS - 1)) == w, bit).otherwise(no))
+        out.append(mask)
+    return out
 
-    Its size is fixed by `bits` (2 MB by default) and never grows with the data: with more keys only the share of false
-    positives grows, and callers verify each positive exactly. Null keys are in no filter. An empty column gives a filter that holds nothing.
-    """
 
-    def __init__(self, df: DataFrame, key: str, bits: int = 1 << 24):
-        self.words = max(1, bits // 64)
-        k = F.col(key)
-        places = F.array(*[F.struct(w.alias("w"), b.alias("b")) for w, b in (_place(k, i, self.words) for i in range(HASHES))])
-        words = df.where(k.isNotNull()).select(F.explode(places).alias("p")).groupBy("p.w").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p.b"))).alias("v"))
-        # The words that are set, in order, and for each the place in that list: dense, so that a look-up is one array access.
-        full = df.sparkSession.range(self.words).select(F.col("id").cast("int").alias("w"))
-        dense = full.join(words, "w", "left").agg(F.sort_array(F.collect_list(F.struct("w", F.coalesce("v", F.lit(0).cast("long")).alias("v")))).alias("a"))
-        self._array = dense.select(F.col("a.v")).scalar()
-
-    def might_contain(self, key: Column) -> Column:
-        """False only if the key is in no row. Null for a null key."""
-        hit = F.lit(True)
-        for i in range(HASHES):
-            w, b = _place(key, i, self.words)
-            hit = hit & (F.getbit(F.get(self._array, w), b) == 1)
-        return F.when(key.isNotNull(), hit)
+def mark_absent(df: DataFrame, key: str, members: DataFrame, member_key: str, out: str, bits: int = 1 << 24) -> DataFrame:
+    """`df` with the boolean `out`: true only if `key` is certainly no `member_key` of `members`; null for a null key.
+
+    The filter has bits / 256 rows at most, whatever the number of members, and is broadcast (some 4 MB at the default).
+    With more members only the share of keys that stay undecided grows; callers verify those exactly. Members meet map-side,
+    by bit_or, so a member that holds a third of the rows is one row a task. Without members every key is absent.
+    """
+    blocks = max(1, bits // (64 * WORDS))
+    m = members.where(F.col(member_key).isNotNull()).select(_block(F.col(member_key), blocks).alias("_block"), *[x.alias(f"_m{i}") for i, x in enumerate(_masks(F.col(member_key)))])
+    words = m.groupBy("_block").agg(*[F.bit_or(f"_m{i}").alias(f"_w{i}") for i in range(WORDS)])
+    probed = df.withColumn("_block", _block(F.col(key), blocks)).join(F.broadcast(words), "_block", "left")
+    hit = F.lit(True)
+    for i, mask in enumerate(_masks(F.col(key))):
+        hit = hit & (F.col(f"_w{i}").bitwiseAND(mask) == mask)
+    return probed.withColumn(out, F.when(F.col(key).isNotNull(), ~F.coalesce(hit, F.lit(False)))).drop("_block", *[f"_w{i}" for i in range(WORDS)])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .bloom import BloomFilter
+from .bloom import mark_absent
 from .skew import salted_left_join
 
 
@@ -29,9 +29,8 @@ def find_orphans(refs: DataFrame, targets: DataFrame, bloom_bits: int = 1 << 24)
     always = F.to_timestamp(F.lit("0001-01-01 00:00:00"))
     refs = refs.where(F.col("key").isNotNull()).select("ref_field", "row_id", "key", "at")
     targets = targets.where(F.col("key").isNotNull()).select("key", F.coalesce("valid_from", always).alias("valid_from"), "valid_to")
-    held = BloomFilter(targets, "key", bloom_bits).might_contain(F.col("key"))
-    tested = refs.withColumn("_held", held)
-    missing = tested.where(~F.col("_held")).select("ref_field", "row_id", "at", F.lit("missing").alias("reason"))
+    tested = mark_absent(refs, "key", targets, "key", "_absent", bloom_bits)
+    missing = tested.where(F.col("_absent")).select("ref_field", "row_id", "at", F.lit("missing").alias("reason"))
 
     per_key = targets.groupBy("key").agg(
         F.min("valid_from").alias("_first"),
@@ -39,7 +38,7 @@ def find_orphans(refs: DataFrame, targets: DataFrame, bloom_bits: int = 1 << 24)
         F.max("valid_to").alias("_last_end"),
     )
     row = F.struct("ref_field", "row_id")
-    joined = salted_left_join(tested.where(F.col("_held")).drop("_held"), per_key, "key", row)
+    joined = salted_left_join(tested.where(~F.col("_absent")).drop("_absent"), per_key, "key", row)
     after_first, open_ = F.col("at") >= F.col("_first"), F.coalesce(F.col("at") >= F.col("_open"), F.lit(False))
     state = (
         F.when(F.col("_first").isNull(), "missing")
