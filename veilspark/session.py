@@ -31,3 +31,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
         named = "file://" + os.path.join(tempfile.gettempdir(), "veilspark-checkpoint")
         spark.sparkContext.setCheckpointDir(named)
     return named
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the executors' Python workers this package, once a context, so that only the driver needs it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_veilspark_shipped", False):
+        return
+    import shutil
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="veilspark-")  # on the driver only; Spark serves the file to the executors
+    at = os.path.join(folder, "src", "veilspark")
+    shutil.copytree(os.path.join(root, "veilspark"), at, ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "veilspark"), "zip", os.path.join(folder, "src")))
+    sc._veilspark_shipped = True
