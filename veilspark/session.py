@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, app: str = "veilspark") -> SparkSession:
@@ -46,3 +46,12 @@ def ship_package(spark: SparkSession) -> None:
     shutil.copytree(os.path.join(root, "veilspark"), at, ignore=shutil.ignore_patterns("__pycache__"))
     sc.addPyFile(shutil.make_archive(os.path.join(folder, "veilspark"), "zip", os.path.join(folder, "src")))
     sc._veilspark_shipped = True
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """`df` in as many partitions as there are cores at least, by the columns `by`, for work in Python that outweighs one shuffle.
+
+    An input of many files is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *by)
