@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import ship_package, spread
 
 #: Where the vocabularies lie; the same path on the driver and on all executors.
 TOKENIZERS = "/opt/tokenizers"
@@ -151,4 +151,4 @@ def token_count(spark: SparkSession, text: Column, folder: str = TOKENIZERS, voc
 
 def encode_corpus(docs: DataFrame, text: str = "text", out: str = "ids", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """`docs` with the column `out` of token ids (replacing one of that name). Row by row, whole texts, without a shuffle; repeated rows are each encoded."""
-    return docs.withColumn(out, token_ids(docs.sparkSession, F.col(f"`{text}`"), folder, vocabulary))
+    return spread(docs).withColumn(out, token_ids(docs.sparkSession, F.col(f"`{text}`"), folder, vocabulary))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, ship_package
+from ..session import checkpoint_dir, ship_package, spread
 
 #: Letters of other scripts and the Latin letters that they look like (fixed values, in pairs).
 CYRILLIC = "аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ӏl АA ВB ЕE КK МM НH ОO РP СC ТT УY ХX ЅS ІI ЈJ ԌG ҮY ԚQ ԜW ӀI"
@@ -166,6 +166,7 @@ def lookalike_pairs(df: DataFrame, row_id: str, text: str, table: dict[str, str]
     Forms are compared by 256-bit digests, which a written table of three columns holds. Different strings of a form are
     paired once, as strings; rows join those pairs, so the copies of a frequent text are never paired among themselves.
     """
+    df = spread(df.select(row_id, text))
     table = learn(df, text) if table is None else table
     checkpoint_dir(df.sparkSession)
     form = consistent(df, F.col(f"`{text}`"), table)

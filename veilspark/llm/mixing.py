@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.keys import norm_key
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, spread
 
 #: Buckets of a source's shuffled texts, and slices of virtual time; running sums go by bucket first, then within it.
 BUCKETS, SLICES = 4096, 4096
@@ -86,4 +86,4 @@ def mix(texts: DataFrame, targets: DataFrame, seed: int = 17) -> tuple[DataFrame
 def token_table(docs: DataFrame, tokens, text: str = "text") -> DataFrame:
     """doc_id, source, text_key and tokens of each document, cut from its lineage in the shared folder: texts are encoded once."""
     checkpoint_dir(docs.sparkSession)
-    return docs.select("doc_id", "source", F.sha2(F.col(text), 256).alias("text_key"), tokens.alias("tokens")).checkpoint()
+    return spread(docs.select("doc_id", "source", text)).select("doc_id", "source", F.sha2(F.col(text), 256).alias("text_key"), tokens.alias("tokens")).checkpoint()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from .bpe import encode_corpus, token_count
+from .langid import identify, wrong_or_mixed
 from .lookalike import consistent, learn, lookalike_pairs
 from .mixing import mix, token_table
 
@@ -38,7 +39,23 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mixed(spark, sf)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p6_ids, p7_mix, p7_shares)}
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    return identify(table(spark, sf, "documents"), table(spark, sf, "lang_codes"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return wrong_or_mixed(_judged(spark, sf))
+
+
+def p8_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return _judged(spark, sf).select("doc_id", "label_lang", "lang", "confidence", F.size("segments").alias("n_segments"))
+
+
+def p8_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return _judged(spark, sf).select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.*")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p6_ids, p7_mix, p7_shares, p8_found, p8_documents, p8_segments)}
 
 #: None: no SQL has the tables of look-alikes, the merges, the queue or the profiles. tests/llm compares with brute force instead.
 ORACLE: dict[str, str] = {}
