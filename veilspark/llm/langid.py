@@ -60,6 +60,7 @@ _MIXED = regex.compile(r"[\p{L}\p{M}'’]+")
 _LATIN_OWN = regex.compile("[\\p{Latin}--[" + "".join(p[1] for p in _PAIRS) + "]]", flags=regex.V1)
 _OTHER_OWN = regex.compile("[[\\p{Cyrillic}\\p{Greek}]--[" + "".join(p[0] for p in _PAIRS) + "]]", flags=regex.V1)
 _OTHER = regex.compile(r"[\p{Cyrillic}\p{Greek}]")
+_LATIN = regex.compile(r"\p{Latin}")
 
 
 def one_script(line: str) -> str:
@@ -71,10 +72,12 @@ def one_script(line: str) -> str:
 
     def word(m: regex.Match) -> str:
         w = m[0]
-        if latin >= other and not _OTHER_OWN.search(w):
-            return w.translate(_TO_LATIN)
-        if latin < other and not _LATIN_OWN.search(w):
-            return w.translate(_TO_CYRILLIC)
+        if latin >= other and _OTHER.search(w):
+            moved = w.translate(_TO_LATIN)
+            return w if _OTHER.search(moved) else moved
+        if latin < other and _LATIN.search(w):
+            moved = w.translate(_TO_CYRILLIC)
+            return w if _LATIN.search(moved) else moved
         return w
 
     return _MIXED.sub(word, line)

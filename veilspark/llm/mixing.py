@@ -48,7 +48,7 @@ def mix(texts: DataFrame, targets: DataFrame, seed: int = 17) -> tuple[DataFrame
     doc_id and round, and cut where the budget is full: the last use is the one that still fits. A source that has too little for its share is used up,
     and the others go on in the proportion of their weights. Weights of 0 or null give nothing. Empty tables give an empty mix.
 
-    mix: doc_id, source, use_no (from 0), tokens, finish, cum_tokens (with this use). shares: source, target_share,
+    mix (not sorted; its order is that of cum_tokens): doc_id, source, use_no (from 0), tokens, finish, cum_tokens (with this use). shares: source, target_share,
     actual_share, tokens, uses, texts, max_uses, budget.
     """
     named = targets.select(norm_key(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("w"), F.greatest(F.coalesce(F.col("max_repeats"), F.lit(1)), F.lit(0)).alias("rep"))
@@ -80,7 +80,7 @@ def mix(texts: DataFrame, targets: DataFrame, seed: int = 17) -> tuple[DataFrame
         "source", F.col("w").alias("target_share"), F.coalesce(F.try_divide("tokens", total.scalar()), F.lit(0.0)).alias("actual_share"),
         none("tokens"), none("uses"), none("texts"), none("max_uses"), F.lit(budget).cast("long").alias("budget"),
     )
-    return cut.orderBy("finish", "source", "doc_id", "use_no"), shares
+    return cut, shares
 
 
 def token_table(docs: DataFrame, tokens, text: str = "text") -> DataFrame:

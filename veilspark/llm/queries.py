@@ -10,6 +10,8 @@ from .bpe import encode_corpus, token_count
 from .langid import identify, wrong_or_mixed
 from .lookalike import consistent, learn, lookalike_pairs
 from .mixing import mix, token_table
+from .pii import detect, given_names, with_placeholders
+from .surrogate import with_surrogates
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -22,6 +24,34 @@ def p1_consistent(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("request_id", consistent(df, F.col("payload"), learn(df, "payload")).alias("payload"))
 
 
+#: The fields of problem 4: name, table, row's id, column.
+_TEXTS = (("scrub_requests.payload", "scrub_requests", "request_id", "payload"), ("scrub_responses.clean_text", "scrub_responses", "response_id", "clean_text"))
+#: Keys come from the caller; this one is for tests and checks only.
+_TEST_KEY = b"no secret: key of the registered queries"
+
+
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    field = lambda name, t, i, c: table(spark, sf, t).select(F.lit(name).alias("text_field"), F.col(i).alias("row_id"), F.col(c).alias("text"))
+    return field(*_TEXTS[0]).unionByName(field(*_TEXTS[1]))
+
+
+def _pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return detect(_texts(spark, sf), "text", given_names(table(spark, sf, "given_names")))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _pieces(spark, sf).select("text_field", "row_id", F.explode("pieces").alias("p")).select("text_field", "row_id", "p.pii_type", "p.nth")
+
+
+def p4_clean(spark: SparkSession, sf: str) -> DataFrame:
+    return _pieces(spark, sf).select("text_field", "row_id", with_placeholders(F.col("text"), F.col("pieces")).alias("text"))
+
+
+def p4_surrogates(spark: SparkSession, sf: str) -> DataFrame:
+    texts = _texts(spark, sf).select(F.concat_ws("/", "text_field", F.col("row_id").cast("string")).alias("row_key"), "text")
+    return with_surrogates(texts, "row_key", "text", table(spark, sf, "given_names"), _TEST_KEY)
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_corpus(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
@@ -32,7 +62,9 @@ def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
-    return _mixed(spark, sf)[0]
+    """The texts in the order of the mix; they join the finished order of ids, so that only ids and counts go through the queue."""
+    texts = table(spark, sf, "documents").select("doc_id", "text")
+    return _mixed(spark, sf)[0].join(texts, "doc_id").orderBy("cum_tokens")
 
 
 def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,7 +87,7 @@ def p8_segments(spark: SparkSession, sf: str) -> DataFrame:
     return _judged(spark, sf).select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.*")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p6_ids, p7_mix, p7_shares, p8_found, p8_documents, p8_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p4_found, p4_clean, p4_surrogates, p6_ids, p7_mix, p7_shares, p8_found, p8_documents, p8_segments)}
 
 #: None: no SQL has the tables of look-alikes, the merges, the queue or the profiles. tests/llm compares with brute force instead.
 ORACLE: dict[str, str] = {}
