@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import DROPPED_HEADERS, TEXT_KEYS
+from ..functions.arrays import rows_of
 from ..session import ship_package
 from .nested import whole_json
 from .scrub import scrub
@@ -59,7 +60,7 @@ def scrub_bodies(df: DataFrame, row_id: str, body: str) -> DataFrame:
     ship_package(df.sparkSession)
     base = df.select(F.col(row_id), F.col(f"`{body}`").cast("string").alias("_b")).withColumn("_texts", F.arrow_udf(_json_texts, "array<string>")("_b"))
     plain = F.when(F.col("_texts").isNull(), F.array("_b")).otherwise(F.col("_texts"))
-    cut = base.select(row_id, F.posexplode(plain).alias("_i", "_t")).where(F.col("_t").isNotNull())
+    cut = rows_of(base, plain, row_id, item="_t", ordinal="_i").where(F.col("_t").isNotNull())
     done = scrub(cut, row_id, "_t").select(row_id, "_i", "clean_text", F.transform_values("audit_log.flags_triggered", lambda k, v: v["count"]).alias("_f"))
     flat = done.groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("_i", "clean_text"))).alias("_c"), F.flatten(F.collect_list(F.map_entries("_f"))).alias("_f"))
     names = F.array_sort(F.array_distinct(F.transform("_f", lambda e: e["key"])))

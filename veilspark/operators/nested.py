@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrays import rows_of
+
 FLAG_LISTS = ("flags_triggered", "flags_redacted")
 CLASS_LISTS = ("pii_classes_detected", "pii_classes_redacted")
 
@@ -54,7 +56,7 @@ def _level(df: DataFrame, name: str, link: list[str], out: dict[str, DataFrame])
             items = F.transform(F.map_entries(c), lambda e: e)
         else:
             items = F.transform(c, lambda e: F.struct(F.lit(None).cast("string").alias("key"), e.alias("value")))
-        child = df.select(F.col("row_key").alias("parent_key"), F.posexplode(items).alias("ordinal", "_e"))
+        child = rows_of(df, items, F.col("row_key").alias("parent_key"), item="_e")
         extra = [F.col("_e.key").cast("string").alias("map_key")] if isinstance(kind, T.MapType) else []
         child = child.select(F.concat_ws("/", "parent_key", F.lit(label), F.col("ordinal").cast("string")).alias("row_key"), "parent_key", "ordinal", *extra, F.col("_e.value").alias("_v"))
         _level(child, f"{name}.{label}", ["parent_key", "ordinal", *(["map_key"] if extra else [])], out)
@@ -99,11 +101,10 @@ def body_responses(v: Column) -> Column:
 def parts_depth(df: DataFrame, responses: str) -> int:
     """How deep `parts` are nested, by the merged schema of all rows' responses (one row comes to the driver).
 
-    Where the merged schema can't say, as producers disagree about a field's type, the count of "parts" in one text bounds it.
+    Only texts that have "parts" in them are parsed for it. Where the merged schema can't say, as producers disagree about a field's type, the count of "parts" in one text (column _parts) bounds it.
     """
-    whole = F.expr(f"schema_of_variant_agg(to_variant_object({responses}))")
-    bound = F.max(F.aggregate(responses, F.lit(0), lambda n, r: n + F.regexp_count(F.coalesce(F.to_json(r), F.lit("")), F.lit('"parts":'))))
-    got = df.agg(whole.alias("schema"), bound.alias("bound")).first()
+    named = df.where(F.col("_parts") > 0)
+    got = named.agg(F.expr(f"schema_of_variant_agg(to_variant_object({responses}))").alias("schema"), F.max("_parts").alias("bound")).first()
     if not got["bound"]:
         return 0
     depth, rest = 0, got["schema"]
@@ -149,7 +150,7 @@ def responses_of_bodies(batches: DataFrame, depth: int | None = None) -> DataFra
     empty and broken bodies have no rows. All levels come from one parse of the body, without a shuffle. `depth` is how
     deep parts may be nested; None finds it from the merged schema.
     """
-    base = batches.select(F.col("batch_id").alias("record_id"), body_responses(whole_json(F.col("body"))).alias("_r")).where(F.size("_r") > 0)
+    base = batches.select(F.col("batch_id").alias("record_id"), body_responses(whole_json(F.col("body"))).alias("_r"), F.regexp_count("body", F.lit('"parts"')).alias("_parts"))
     if depth is None:
         depth = parts_depth(base, "_r")
     item = "array<struct<path:string,parent:string,v:variant>>"
@@ -159,7 +160,7 @@ def responses_of_bodies(batches: DataFrame, depth: int | None = None) -> DataFra
         inner = lambda x: F.transform(F.coalesce(_list(_get(x["v"], "$.parts")), F.array().cast("array<variant>")), lambda p, i: F.struct(F.concat_ws("/", x["path"], i.cast("string")).alias("path"), x["path"].alias("parent"), p.alias("v")))
         level = F.flatten(F.transform(level, inner)).cast(item)
         levels.append(level)
-    rows = base.select("record_id", F.explode(F.concat(*levels)).alias("x")).where(_get(F.col("x.v"), "$", "map<string,variant>").isNotNull())
+    rows = rows_of(base, F.concat(*levels), "record_id", item="x").where(_get(F.col("x.v"), "$", "map<string,variant>").isNotNull())
     v = F.col("x.v")
     rows = rows.select("record_id", F.col("x.path").alias("item_path"), F.col("x.parent").alias("parent_path"), _get(v, "$.clean_text", "string").alias("clean_text"), _document(_get(v, "$.audit_log")).alias("a"), _document(_get(v, "$.compliance_receipt")).alias("c"))
     a, c = F.col("a"), F.col("c")
@@ -201,10 +202,10 @@ def flat_tables(rows: DataFrame) -> dict[str, DataFrame]:
     """responses, flags, entities and receipts (with classes as a further child) of response_rows; each child row has its parent's key."""
     return {
         "responses": rows.select(*_LINK, "parent_path", "clean_text", "audit.*"),
-        "flags": rows.select(*_LINK, F.posexplode("flags").alias("ordinal", "f")).select(*_LINK, "ordinal", F.col("f.list").alias("child_list"), F.col("f.name").alias("flag"), "f.count", "f.cfr_citation"),
-        "entities": rows.select(*_LINK, F.explode("entities").alias("e")).select(*_LINK, "e.*"),
+        "flags": rows_of(rows, F.col("flags"), *_LINK, item="f").select(*_LINK, "ordinal", F.col("f.list").alias("child_list"), F.col("f.name").alias("flag"), "f.count", "f.cfr_citation"),
+        "entities": rows_of(rows, F.col("entities"), *_LINK, item="e", ordinal="_i").select(*_LINK, "e.*"),
         "receipts": rows.where(F.col("receipt").isNotNull()).select(*_LINK, "receipt.*"),
-        "classes": rows.select(*_LINK, F.posexplode("classes").alias("ordinal", "c")).select(*_LINK, "ordinal", F.col("c.list").alias("child_list"), F.col("c.name").alias("pii_class")),
+        "classes": rows_of(rows, F.col("classes"), *_LINK, item="c").select(*_LINK, "ordinal", F.col("c.list").alias("child_list"), F.col("c.name").alias("pii_class")),
     }
 
 
@@ -216,8 +217,5 @@ def children(rows: DataFrame) -> DataFrame:
     child = lambda x: F.struct(x["list"].alias("child_list"), F.upper(F.btrim(x["name"])).alias("child_key"))
     named = F.filter(F.concat(F.transform("flags", child), F.transform("classes", child)), lambda x: x["child_key"] != "")
     entities = F.transform("entities", lambda e: F.struct(F.lit("entities").alias("child_list"), e["ordinal"].cast("string").alias("child_key")))
-    return rows.select(*_LINK, F.explode(F.array_distinct(F.concat(named, entities))).alias("c")).select(*_LINK, "c.child_list", "c.child_key")
-
+    return rows_of(rows, F.array_distinct(F.concat(named, entities)), *_LINK, item="c").select(*_LINK, "c.child_list", "c.child_key")
 
-def infer_body_depth(spark: SparkSession, batches: DataFrame) -> int:
-    return parts_depth(batches.select(body_responses(whole_json(F.col("body"))).alias("_r")).where(F.size("_r") > 0), "_r")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CITATIONS
+from ..functions.arrays import rows_of
 from . import detect, spans
 
 ENTRY = "struct<count:int,cfr_citation:string>"
@@ -53,7 +54,8 @@ def flag_counts(m: Column) -> Column:
 
 def explode_flags(df: DataFrame, *keep: str) -> DataFrame:
     """One row a flag: keep..., flag, count, cfr_citation."""
-    return df.select(*keep, F.explode("audit_log.flags_triggered").alias("flag", "v")).select(*keep, "flag", "v.count", "v.cfr_citation")
+    rows = rows_of(df, F.map_entries("audit_log.flags_triggered"), *keep, item="_f", ordinal="_i")
+    return rows.select(*keep, F.col("_f.key").alias("flag"), "_f.value.count", "_f.value.cfr_citation")
 
 
 def residual(clean: Column) -> Column:

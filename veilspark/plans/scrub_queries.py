@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import CITATIONS
+from ..functions.arrays import rows_of
 from ..operators import detect, evaluate, jsonscrub, spans
 from ..operators.scrub import citation, explode_flags, flag_counts, residual, scrub
 from ..sources.readers import health
@@ -45,11 +46,11 @@ def ssn_invalid_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pan_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return _payloads(spark, sf).select("request_id", F.explode(detect.pan_candidates(P())).alias("c")).select("request_id", detect.ascii_digits(F.col("c")).alias("candidate"))
+    return rows_of(_payloads(spark, sf), detect.pan_candidates(P()), "request_id", item="c").select("request_id", detect.ascii_digits(F.col("c")).alias("candidate"))
 
 
 def luhn_valid(spark: SparkSession, sf: str) -> DataFrame:
-    found = _payloads(spark, sf).select("request_id", F.explode(detect.pan_candidates(P())).alias("c"))
+    found = rows_of(_payloads(spark, sf), detect.pan_candidates(P()), "request_id", item="c")
     return found.groupBy("request_id").agg(F.count_if(detect.luhn_valid(F.col("c"))).alias("valid"), F.count("*").alias("candidates"))
 
 
@@ -59,14 +60,14 @@ def pan_redact(spark: SparkSession, sf: str) -> DataFrame:
 
 def _rule(entity: str):
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        found = _payloads(spark, sf).select("request_id", F.explode(detect.rule_spans(detect.ascii_digits(P()), entity, 0)).alias("x"))
+        found = rows_of(_payloads(spark, sf), detect.rule_spans(detect.ascii_digits(P()), entity, 0), "request_id", item="x")
         return found.select("request_id", "x.s", "x.e", F.col("x.p").alias("placeholder"))
 
     return query
 
 
 def _exploded(spark: SparkSession, sf: str) -> DataFrame:
-    return _payloads(spark, sf).select("request_id", F.explode(detect.all_spans(P())).alias("x")).select("request_id", "x.s", "x.e", "x.p")
+    return rows_of(_payloads(spark, sf), detect.all_spans(P()), "request_id", item="x").select("request_id", "x.s", "x.e", "x.p")
 
 
 def span_islands(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,7 +75,7 @@ def span_islands(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def span_merge(spark: SparkSession, sf: str) -> DataFrame:
-    merged = _payloads(spark, sf).select("request_id", F.explode(spans.merge_spans(detect.all_spans(P()))).alias("x"))
+    merged = rows_of(_payloads(spark, sf), spans.merge_spans(detect.all_spans(P())), "request_id", item="x")
     return merged.select("request_id", "x.s", "x.e", F.col("x.p").alias("placeholder"), F.array_join(F.array_sort("x.f"), "|").alias("flags"))
 
 
