@@ -14,6 +14,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import rows_of
 from ..functions.keys import trimmed
 from ..session import ship_package, spread
 from .lookalike import CYRILLIC, GREEK
@@ -292,7 +293,8 @@ def segment_column(df: DataFrame, text: Column, profiles: Profiles) -> Column:
         for b in batches:
             yield pa.array([segments(judge, t) for t in b.to_pylist()], _ARROW)
 
-    return F.arrow_udf(run, SEGMENT)(text.cast("string"))
+    # Named nondeterministic so that no filter on its result is pushed below it and evaluates it again.
+    return F.arrow_udf(run, SEGMENT).asNondeterministic()(text.cast("string"))
 
 
 def identify(docs: DataFrame, codes: DataFrame, profiles: Profiles | None = None) -> DataFrame:
@@ -316,4 +318,4 @@ def identify(docs: DataFrame, codes: DataFrame, profiles: Profiles | None = None
 def wrong_or_mixed(judged: DataFrame) -> DataFrame:
     """doc_id, lang: each language of the documents with whole sentences in two languages or more, or whose label isn't the one they have."""
     case = (F.size("langs") > 1) | ((F.size("langs") == 1) & (F.coalesce(F.col("label_lang"), F.lit("")) != F.get("langs", F.lit(0))))
-    return judged.where(case).select("doc_id", F.explode("langs").alias("lang"))
+    return rows_of(judged.where(case), F.col("langs"), "doc_id", item="lang").select("doc_id", "lang")

@@ -156,7 +156,8 @@ def consistent(df: DataFrame, text: Column, table: dict[str, str]) -> Column:
         for batch in batches:
             yield pa.array([None if t is None else rewrite(t) for t in batch.to_pylist()], pa.string())
 
-    return F.arrow_udf(run, "string")(text.cast("string"))
+    # Named nondeterministic so that no filter on its result is pushed below it and evaluates it again.
+    return F.arrow_udf(run, "string").asNondeterministic()(text.cast("string"))
 
 
 def lookalike_pairs(df: DataFrame, row_id: str, text: str, table: dict[str, str] | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import rows_of
 from ..sources.tables import table
 from .bpe import encode_corpus, token_count
 from .langid import identify, wrong_or_mixed
@@ -40,7 +41,7 @@ def _pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _pieces(spark, sf).select("text_field", "row_id", F.explode("pieces").alias("p")).select("text_field", "row_id", "p.pii_type", "p.nth")
+    return rows_of(_pieces(spark, sf), F.col("pieces"), "text_field", "row_id", item="p").select("text_field", "row_id", "p.pii_type", "p.nth")
 
 
 def p4_clean(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,7 +85,7 @@ def p8_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_segments(spark: SparkSession, sf: str) -> DataFrame:
-    return _judged(spark, sf).select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.*")
+    return rows_of(_judged(spark, sf), F.col("segments"), "doc_id", item="s").select("doc_id", "s.*")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p4_found, p4_clean, p4_surrogates, p6_ids, p7_mix, p7_shares, p8_found, p8_documents, p8_segments)}
