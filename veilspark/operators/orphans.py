@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..session import checkpoint_dir
 from .bloom import mark_absent
 from .skew import salted_left_join
 
@@ -30,7 +31,7 @@ def find_orphans(refs: DataFrame, targets: DataFrame, bloom_bits: int = 1 << 24)
     refs = refs.where(F.col("key").isNotNull()).select("ref_field", "row_id", "key", "at")
     targets = targets.where(F.col("key").isNotNull()).select("key", F.coalesce("valid_from", always).alias("valid_from"), "valid_to")
     tested = mark_absent(refs, "key", targets, "key", "_absent", bloom_bits)
-    missing = tested.where(F.col("_absent")).select("ref_field", "row_id", "at", F.lit("missing").alias("reason"))
+    missing = tested.where(F.col("_absent")).select("ref_field", "row_id", "key", "at", F.lit("missing").alias("reason"))
 
     per_key = targets.groupBy("key").agg(
         F.min("valid_from").alias("_first"),
@@ -47,9 +48,12 @@ def find_orphans(refs: DataFrame, targets: DataFrame, bloom_bits: int = 1 << 24)
         .when(F.coalesce(F.col("at") >= F.col("_last_end"), F.lit(False)), "deleted")
         .otherwise("ends")
     )
-    judged = joined.withColumn("reason", state).where(F.col("reason") != "valid").select("ref_field", "row_id", "key", "at", "reason")
+    found = joined.withColumn("reason", state).where(F.col("reason") != "valid").select("ref_field", "row_id", "key", "at", "reason")
+    # Few rows are left here; written once, they cut the join off from the two ways on.
+    checkpoint_dir(refs.sparkSession)
+    judged = missing.unionByName(found).checkpoint()
     clear = judged.where(F.col("reason") != "ends").select("ref_field", "row_id", "at", "reason")
-    return missing.unionByName(clear).unionByName(_uncovered(judged.where(F.col("reason") == "ends"), targets.where(F.col("valid_to").isNotNull())))
+    return clear.unionByName(_uncovered(judged.where(F.col("reason") == "ends"), targets.where(F.col("valid_to").isNotNull())))
 
 
 def _uncovered(refs: DataFrame, closed: DataFrame) -> DataFrame:
