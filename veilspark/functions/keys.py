@@ -28,7 +28,8 @@ def instant(c: Column) -> Column:
     zoned = t.rlike(r"[0-9](Z|UTC|[+-][0-9]{2}:?[0-9]{2}|[+-][0-9]{2})$") & t.rlike("[T ][0-9]{2}:")
     full = F.regexp_replace(t, r"([+-][0-9]{2})([0-9]{2})$", "$1:$2")
     full = F.regexp_replace(full, r"([T ][0-9:.]+[+-][0-9]{2})$", "$1:00")
-    return F.when(zoned, full).otherwise(F.concat(t, F.when(t.rlike("[T ][0-9]{2}:"), F.lit("Z")).otherwise(F.lit("T00:00:00Z")))).try_cast("timestamp")
+    timed = F.when(zoned, full).otherwise(F.concat(t, F.when(t.rlike("[T ][0-9]{2}:"), F.lit("Z")).otherwise(F.lit("T00:00:00Z"))))
+    return F.when(t.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}"), timed).try_cast("timestamp")
 
 
 def utc(c: Column) -> Column:
