@@ -48,7 +48,7 @@ _LOG = regex.compile(r"^\s*(\d{4}-\d\d-\d\dT[\d:.]+Z?\b.*|\{.*\}|\[REDACTED_\w+\
 _HEAD = regex.compile(r"^\s*(?:[>*\-•#|\s]+|\d+[.)]\s+|(?:user|assistant|system|human|ai)\s*:\s*)+", flags=regex.I)
 _VITALS = regex.compile(r"\b(?:BP|HR|T|RR|SpO2|eGFR|BMI)\s+\d[\d./]*\s?%?", flags=regex.I)
 _CODES = regex.compile(r"\[REDACTED_\w+\]|<[^<>\s]*>|\S*@\S*|https?://\S+|\S*(?:[_\\=/]|&#)\S*|\b\w*\d[\w.,]*\b")
-_END = regex.compile(r"(?<=[.!?…。？！][\"'»”’)]*)(?<!\b(?:\p{Lu}|см|стр|ул|кв|[дгт]|Dr|Mr|Mrs|Ms|St|Nr|No|Sra?|Prof|p[áa]gs?|ca|cf|vs|bzw|usw|etc|ext|tel|Tel)\.)\s+(?=[^\s])")
+_END = regex.compile(r"(?<=[.!?…。？！][\"'»”’)]*)(?<!\b(?:\p{Lu}|(?i:см|стр|ул|кв|[дгт]|Dr|Mr|Mrs|Ms|St|Nr|No|Sra?|Prof|p[áa]gs?|ca|cf|vs|bzw|usw|etc|ext|tel))\.)\s+(?=[^\s])")
 _WORD = regex.compile(r"\p{L}{2,}")
 _ENDS = regex.compile(r"[.!?…。？！][\"'»”’)]*\s*$")
 _GAPS = regex.compile(r"\P{L}+")
@@ -101,8 +101,16 @@ def sentences(text: str) -> list[str]:
     return out
 
 
+_LATIN_WORD, _CYRILLIC_WORD = regex.compile(r"\p{Latin}+"), regex.compile(r"\p{Cyrillic}+")
+
+
 def plain(text: str) -> str:
-    return " " + _GAPS.sub(" ", _CODES.sub(" ", text).lower()).strip() + " "
+    """Lower-case words with single blanks. Words of the script that is rarer in the text, as names of drugs, are left out."""
+    low = _CODES.sub(" ", text).lower()
+    if not low.isascii() and _CYRILLIC_WORD.search(low):
+        latin, cyrillic = (sum(map(len, rx.findall(low))) for rx in (_LATIN_WORD, _CYRILLIC_WORD))
+        low = (_LATIN_WORD if cyrillic > latin else _CYRILLIC_WORD).sub(" ", low)
+    return " " + _GAPS.sub(" ", low).strip() + " "
 
 
 def folded(text: str) -> tuple[str, str]:
