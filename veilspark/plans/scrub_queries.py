@@ -213,8 +213,8 @@ _PAN2 = r"\b(?:\d[ -]*?){13,19}\b"
 _O = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _RE2 = {
     "PHONE": r"(?:\+1[-. ]?)?(?:\(\d{3}\) ?|\b\d{3}[-. ])\d{3}[-. ]\d{4}\b",
-    "EMAIL": r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+",
-    "URL": r"""https?://[^\s<>"'',;]*[^\s<>"'',;.!?)]|\b(?:[a-zA-Z0-9-]+\.)+(?:com|org|net|edu|gov|io)\b""",
+    "EMAIL": r"[\w.+-]+@[\w-]+(?:\.[\w-]+){1,20}",
+    "URL": r"""https?://[^\s<>"'',;]*[^\s<>"'',;.!?)]|\b(?:[a-zA-Z0-9-]{1,63}\.){1,10}(?:com|org|net|edu|gov|io)\b""",
     "IP": rf"\b(?:{_O}\.){{3}}{_O}\b",
     "BANK_NUMBER": r"\b\d{8,17}\b",
 }
