@@ -46,11 +46,14 @@ SEEDS = {
 _HIDDEN = regex.compile(r"[\p{Cf}\p{M}️--[̀-ͯ]]", flags=regex.V1)
 _LOG = regex.compile(r"^\s*(\d{4}-\d\d-\d\dT[\d:.]+Z?\b.*|\{.*\}|\[REDACTED_\w+\]\s*=>.*|<\|.*|0x[0-9a-fA-F]+.*|--+\s.*|[A-Za-z_]+=\S+(\s+[A-Za-z_]+=\S+)*)\s*$")
 _HEAD = regex.compile(r"^\s*(?:[>*\-•#|\s]+|\d+[.)]\s+|(?:user|assistant|system|human|ai)\s*:\s*)+", flags=regex.I)
+_SIGNED = regex.compile(r"(?:^|\s)--\s")
 _VITALS = regex.compile(r"\b(?:BP|HR|T|RR|SpO2|eGFR|BMI)\s+\d[\d./]*\s?%?", flags=regex.I)
-_CODES = regex.compile(r"\[REDACTED_\w+\]|<[^<>\s]*>|\S*@\S*|https?://\S+|\S*(?:[_\\=/]|&#)\S*|\b\w*\d[\w.,]*\b")
-_END = regex.compile(r"(?<=[.!?…。？！][\"'»”’)]*)(?<!\b(?:\p{Lu}|(?i:см|стр|ул|кв|[дгт]|Dr|Mr|Mrs|Ms|St|Nr|No|Sra?|Prof|p[áa]gs?|ca|cf|vs|bzw|usw|etc|ext|tel))\.)\s+(?=[^\s])")
+#: Abbreviations whose full stop ends no sentence (fixed values).
+_ABBREVIATIONS = frozenset("см стр ул кв д г т dr mr mrs ms st nr no sr sra prof pag pág pags págs ca cf vs bzw usw etc ext tel".split())
+_CLOSERS, _STOPS = "\"'»”’)", ".!?…。？！"
+_LAST_WORD = regex.compile(r"(?<!\p{L})(\p{L}{1,5})\.$")
+_BLANKS = regex.compile(r"\s+")
 _WORD = regex.compile(r"\p{L}{2,}")
-_ENDS = regex.compile(r"[.!?…。？！][\"'»”’)]*\s*$")
 _GAPS = regex.compile(r"\P{L}+")
 
 
@@ -84,6 +87,30 @@ def one_script(line: str) -> str:
     return _MIXED.sub(word, line)
 
 
+def without_codes(text: str) -> str:
+    """Words only: what has a digit, an at sign, a slash or the like in it, and placeholders, are left out."""
+    return " ".join(w for w in text.split() if not any(c in "@_\\=/<>" or c.isdigit() for c in w) and "&#" not in w and "[REDACTED" not in w)
+
+
+def _ends(text: str, end: int) -> bool:
+    """Whether a sentence ends before this place: at a mark, closing quotes and brackets aside, that isn't an abbreviation's."""
+    while end > 0 and text[end - 1] in _CLOSERS:
+        end -= 1
+    if end == 0 or text[end - 1] not in _STOPS:
+        return False
+    word = _LAST_WORD.search(text, max(0, end - 7), end) if text[end - 1] == "." else None
+    return word is None or not (word[1].lower() in _ABBREVIATIONS or len(word[1]) == 1 and word[1].isupper())
+
+
+def _split(line: str) -> list[str]:
+    out, at = [], 0
+    for m in _BLANKS.finditer(line):
+        if m.end() < len(line) and _ends(line, m.start()):
+            out.append(line[at : m.start()])
+            at = m.end()
+    return [*out, line[at:]]
+
+
 def sentences(text: str) -> list[str]:
     """The whole sentences of a text, in order: at least LEAST_WORDS words and an end mark. Log lines, role marks, quote and
     list marks, measurements, codes, addresses, placeholders and signatures are taken away first and are no sentences."""
@@ -92,11 +119,11 @@ def sentences(text: str) -> list[str]:
         if not line.strip() or _LOG.match(line):
             continue
         line = _HEAD.sub("", line)
-        line = regex.split(r"(?:^|\s)--\s", line)[0]
+        line = _SIGNED.split(line)[0]
         line = one_script(_VITALS.sub(" ", line))
-        for s in _END.split(line):
+        for s in _split(line.rstrip()):
             s = _HEAD.sub("", s.strip())
-            if _ENDS.search(s) and len(_WORD.findall(_CODES.sub(" ", s))) >= LEAST_WORDS:
+            if s[-1:] and s.rstrip(_CLOSERS)[-1:] in tuple(_STOPS) and len(_WORD.findall(without_codes(s))) >= LEAST_WORDS:
                 out.append(s)
     return out
 
@@ -106,7 +133,7 @@ _LATIN_WORD, _CYRILLIC_WORD = regex.compile(r"\p{Latin}+"), regex.compile(r"\p{C
 
 def plain(text: str) -> str:
     """Lower-case words with single blanks. Words of the script that is rarer in the text, as names of drugs, are left out."""
-    low = _CODES.sub(" ", text).lower()
+    low = without_codes(text).lower()
     if not low.isascii() and _CYRILLIC_WORD.search(low):
         latin, cyrillic = (sum(map(len, rx.findall(low))) for rx in (_LATIN_WORD, _CYRILLIC_WORD))
         low = (_LATIN_WORD if cyrillic > latin else _CYRILLIC_WORD).sub(" ", low)
