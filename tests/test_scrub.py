@@ -119,3 +119,32 @@ def test_islands_are_the_fold(spark):
 def test_nothing_is_left(spark, small):
     t = spark.read.parquet(f"{small}/scrub_requests.parquet")
     assert scrub(t, "request_id", "payload").select(F.sum(residual(F.col("clean_text")))).first()[0] == 0
+
+
+def test_a_model_plugs_in(spark):
+    from veilspark.operators.ner import model_spans
+
+    def load():
+        import re
+
+        return lambda texts: [[(m.start(), m.end(), "PERSON") for m in re.finditer("Jane Doe|REDACTED_SSN", t)] + [(0, 1, "CARDINAL")] for t in texts]
+
+    texts = ["Contact Jane Doe at jane.doe@example.com, 372-18-5421.", None, "", "none"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: r for r in scrub(df, "id", "text", more=model_spans(load)).select("id", "clean_text", flag_counts(F.col("audit_log.flags_triggered")).alias("f")).collect()}
+    assert got[0].clean_text == "Contact [REDACTED_PERSON] at [REDACTED_EMAIL], [REDACTED_SSN]."
+    assert got[0].f == {"HIPAA_SSN": 1, "HIPAA_PHI_PERSON": 1, "HIPAA_PHI_EMAIL": 1} and got[1].clean_text is None and got[3].f == {}
+
+
+def test_sql_functions(spark):
+    from veilspark.functions.sql import register
+
+    register(spark)
+    r = spark.sql("SELECT ssn_count('a 372-18-5421 b 900-12-3456') n, ssn_redact('x 372-18-5421') t, luhn_valid('4111 1111 1111 1111') l, pan_count('c 4111111111111111, 4111111111111112') p, citation('HIPAA_SSN') c, citation('X') d").first()
+    assert (r.n, r.t, r.l, r.p, r.d) == (1, "x [REDACTED_SSN]", True, 1, None) and r.c.endswith("(G)")
+
+
+@pytest.mark.parametrize("unit", ["a", "1", "1 ", "a.", "a-", "(1", "a@", "a@b.c ", "555-867-5309 "])
+def test_very_long_texts(spark, unit):
+    clean, _, log = run(spark, [unit * 20_000])[0]
+    assert clean is not None and log.original_char_count == len(unit) * 20_000

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import ENTITY_FLAGS
+from ..functions.arrays import chunks, let
 
 _B, _E = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 SSN = _B + r"(?!000|666|9\p{Nd}{2})[0-8]\p{Nd}{2}([-. ])(?!00)\p{Nd}{2}\1(?!0000)\p{Nd}{4}" + _E
@@ -72,12 +73,16 @@ def rule_spans(text: Column, entity: str, order: int) -> Column:
     """Spans of one rule: start, end, flags, placeholder and the recogniser's order. Starts follow from the lengths of the
     gaps and matches before. What contains REDACTED is no span."""
     pattern, (flag, placeholder) = RULES[entity], ENTITY_FLAGS[entity]
-    found = matches(text, pattern)
-    pieces = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("n"), m.alias("m")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+    # The gap after the last match has no match beside it and makes no piece.
+    pieces = F.filter(F.zip_with(F.split(text, pattern, -1), matches(text, pattern), lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("n"), m.alias("m"))), lambda x: x["m"].isNotNull())
+    none = F.array().cast(SPANS)
     span = lambda at, x: F.struct((at + x["g"]).alias("s"), (at + x["g"] + x["n"]).alias("e"), F.array(F.lit(flag)).alias("f"), F.lit(placeholder).alias("p"), F.lit(order).alias("o"))
-    step = lambda a, x: F.struct((a["at"] + x["g"] + x["n"]).alias("at"), F.concat(a["out"], F.when(x["m"].contains("REDACTED"), F.array().cast(SPANS)).otherwise(F.array(span(a["at"], x)))).cast(SPANS).alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(pieces, zero, step, lambda a: a["out"])).otherwise(F.array().cast(SPANS))
+    step = lambda a, x: F.struct((a["at"] + x["g"] + x["n"]).alias("at"), F.concat(a["out"], F.when(x["m"].contains("REDACTED"), none).otherwise(F.array(span(a["at"], x)))).alias("out"))
+    whole = lambda a, c: F.aggregate(c, F.struct(a["at"].alias("at"), none.alias("out")), step)
+    # Chunk by chunk, each from where the last one ended.
+    outer = lambda a, c: let(whole(a, c), lambda r: F.struct(r["at"].alias("at"), F.concat(a["outs"], F.array(r["out"])).alias("outs")))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("outs"))
+    return F.when(text.rlike(pattern), let(pieces, lambda ps: F.aggregate(chunks(ps), zero, outer, lambda a: F.flatten(a["outs"])))).otherwise(none)
 
 
 def all_spans(text: Column) -> Column:

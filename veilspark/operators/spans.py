@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..constants import PRIORITY
-from .detect import SPAN, SPANS
+from ..functions.arrays import chunks, let
+from .detect import SPANS
 
 _EMAIL, _URL = "HIPAA_PHI_EMAIL", "HIPAA_PHI_URL"
 
@@ -48,14 +49,22 @@ def sort_spans(spans: Column) -> Column:
 
 def merge_spans(spans: Column) -> Column:
     """Spans sorted and folded, each overlapping one into the last: least start, greatest end, flags united, the preferred placeholder."""
-    join = lambda last, x: F.struct(F.least(last["s"], x["s"]).alias("s"), F.greatest(last["e"], x["e"]).alias("e"), _flags(last, x).alias("f"), preferred(last["p"], x["p"]).alias("p"), last["o"].alias("o")).cast(SPAN)
+    join = lambda last, x: F.struct(F.least(last["s"], x["s"]).alias("s"), F.greatest(last["e"], x["e"]).alias("e"), _flags(last, x).alias("f"), preferred(last["p"], x["p"]).alias("p"), last["o"].alias("o"))
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        meets = (F.size(acc) > 0) & overlaps(F.try_element_at(acc, F.lit(-1))["s"], F.try_element_at(acc, F.lit(-1))["e"], x["s"], x["e"])
-        return F.when(meets, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(join(last, x)))).otherwise(F.concat(acc, F.array(x))).cast(SPANS)
+    none = F.array().cast(SPANS)
 
-    return F.when(F.size(spans) < 2, spans).otherwise(F.aggregate(sort_spans(spans), F.array().cast(SPANS), step))
+    def step(a: Column, x: Column) -> Column:
+        last = F.get(a["last"], F.lit(0))
+        meets = (F.size(a["last"]) > 0) & overlaps(last["s"], last["e"], x["s"], x["e"])
+        return F.struct(F.when(meets, a["out"]).otherwise(F.concat(a["out"], a["last"])).alias("out"), F.when(meets, F.array(join(last, x))).otherwise(F.array(x)).alias("last"))
+
+    def outer(a: Column, chunk: Column) -> Column:
+        inner = F.aggregate(chunk, F.struct(none.alias("out"), a["last"].alias("last")), step)
+        return let(inner, lambda r: F.struct(F.concat(a["outs"], F.array(r["out"])).alias("outs"), r["last"].alias("last")))
+
+    zero = F.struct(F.array().cast(f"array<{SPANS}>").alias("outs"), none.alias("last"))
+    folded = lambda ordered: F.aggregate(chunks(ordered), zero, outer, lambda a: F.flatten(F.concat(a["outs"], F.array(a["last"]))))
+    return let(spans, lambda x: F.when(F.size(x) < 2, x).otherwise(let(sort_spans(x), folded)))
 
 
 def redact(text: Column, merged: Column) -> Column:

@@ -18,6 +18,7 @@ def local_session(cpus: int = 8, app: str = "veilspark") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # call sites of each expression cost a second a plan
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
