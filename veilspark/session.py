@@ -30,6 +30,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         named = "file://" + os.path.join(tempfile.gettempdir(), "veilspark-checkpoint")
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named
 
@@ -52,7 +53,9 @@ def ship_package(spark: SparkSession) -> None:
 def spread(df: DataFrame, *by: str) -> DataFrame:
     """`df` in as many partitions as there are cores at least, by the columns `by`, for work in Python that outweighs one shuffle.
 
-    An input of many files is left as it is.
+    An input of many files is left as it is, and so is a plan with an exchange of its own.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *by)
