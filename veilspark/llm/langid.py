@@ -50,9 +50,9 @@ _SIGNED = regex.compile(r"(?:^|\s)--\s")
 _VITALS = regex.compile(r"\b(?:BP|HR|T|RR|SpO2|eGFR|BMI)\s+\d[\d./]*\s?%?", flags=regex.I)
 #: Abbreviations whose full stop ends no sentence (fixed values).
 _ABBREVIATIONS = frozenset("см стр ул кв д г т dr mr mrs ms st nr no sr sra prof pag pág pags págs ca cf vs bzw usw etc ext tel".split())
-_CLOSERS, _STOPS = "\"'»”’)", ".!?…。？！"
+_CLOSERS, _STOPS = "\"'»”’)", tuple(".!?…。？！")
 _LAST_WORD = regex.compile(r"(?<!\p{L})(\p{L}{1,5})\.$")
-_BLANKS = regex.compile(r"\s+")
+_STOP = regex.compile(r"[.!?…。？！][\"'»”’)]*+(\s+)")
 _WORD = regex.compile(r"\p{L}{2,}")
 _GAPS = regex.compile(r"\P{L}+")
 
@@ -87,26 +87,25 @@ def one_script(line: str) -> str:
     return _MIXED.sub(word, line)
 
 
+_CODE = regex.compile(r"[@_\\=/<>\d]|&#|\[REDACTED")
+
+
 def without_codes(text: str) -> str:
     """Words only: what has a digit, an at sign, a slash or the like in it, and placeholders, are left out."""
-    return " ".join(w for w in text.split() if not any(c in "@_\\=/<>" or c.isdigit() for c in w) and "&#" not in w and "[REDACTED" not in w)
+    return " ".join(w for w in text.split() if not _CODE.search(w)) if _CODE.search(text) else text
 
 
-def _ends(text: str, end: int) -> bool:
-    """Whether a sentence ends before this place: at a mark, closing quotes and brackets aside, that isn't an abbreviation's."""
-    while end > 0 and text[end - 1] in _CLOSERS:
-        end -= 1
-    if end == 0 or text[end - 1] not in _STOPS:
-        return False
-    word = _LAST_WORD.search(text, max(0, end - 7), end) if text[end - 1] == "." else None
-    return word is None or not (word[1].lower() in _ABBREVIATIONS or len(word[1]) == 1 and word[1].isupper())
+def _abbreviated(text: str, stop: int) -> bool:
+    """Whether the full stop at this place is an abbreviation's."""
+    word = _LAST_WORD.search(text, max(0, stop - 6), stop + 1) if text[stop] == "." else None
+    return word is not None and (word[1].lower() in _ABBREVIATIONS or len(word[1]) == 1 and word[1].isupper())
 
 
 def _split(line: str) -> list[str]:
     out, at = [], 0
-    for m in _BLANKS.finditer(line):
-        if m.end() < len(line) and _ends(line, m.start()):
-            out.append(line[at : m.start()])
+    for m in _STOP.finditer(line):
+        if m.end() < len(line) and not _abbreviated(line, m.start()):
+            out.append(line[at : m.start(1)])
             at = m.end()
     return [*out, line[at:]]
 
@@ -123,7 +122,7 @@ def sentences(text: str) -> list[str]:
         line = one_script(_VITALS.sub(" ", line))
         for s in _split(line.rstrip()):
             s = _HEAD.sub("", s.strip())
-            if s[-1:] and s.rstrip(_CLOSERS)[-1:] in tuple(_STOPS) and len(_WORD.findall(without_codes(s))) >= LEAST_WORDS:
+            if s[-1:] and s.rstrip(_CLOSERS)[-1:] in _STOPS and len(_WORD.findall(without_codes(s))) >= LEAST_WORDS:
                 out.append(s)
     return out
 
@@ -178,9 +177,12 @@ class Profiles:
 
     langs: list[str]
     matrix: np.ndarray
+    #: The products of the n-grams that the prototypes hold, so that workers needn't make those vectors again.
+    grams: list[str]
+    products: np.ndarray
 
     @staticmethod
-    def bundle(counts: dict[str, dict[str, float]]) -> Profiles:
+    def bundle(counts: dict[str, dict[str, float]], remember: bool = False) -> Profiles:
         space, langs = Space(), sorted(counts)
         total = np.zeros((len(langs), DIMENSIONS), np.float32)
         for i, lang in enumerate(langs):
@@ -189,7 +191,9 @@ class Profiles:
         total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
         total -= total.mean(axis=0)
         total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
-        return Profiles(langs, total)
+        known = sorted({g for c in counts.values() for g in c}) if remember else []
+        products = np.stack([total @ space.gram(g).astype(np.float32) for g in known]) if known else np.zeros((0, len(langs)), np.float32)
+        return Profiles(langs, total, known, products.astype(np.float32))
 
 
 class Judge:
@@ -198,14 +202,17 @@ class Judge:
 
     def __init__(self, profiles: Profiles):
         self.p, self.space = profiles, Space()
-        self.at: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(profiles.langs)), np.float32)
+        self.start()
         self.known: dict[str, tuple[str, float, str, bool]] = {}
 
+    def start(self) -> None:
+        self.at = {g: i for i, g in enumerate(self.p.grams)}
+        self.rows = np.concatenate([self.p.products, np.zeros((1024, len(self.p.langs)), np.float32)])
+
     def products(self, gs: list[str]) -> np.ndarray:
+        if len(self.at) > len(self.p.grams) + REMEMBERED * 4:
+            self.start()
         at = self.at
-        if len(at) > REMEMBERED * 4:
-            at.clear()
         idx = []
         for g in gs:
             i = at.get(g)
@@ -307,7 +314,7 @@ def fit(docs: DataFrame, codes: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Pr
         # A label under which most sentences are in another language teaches nothing.
         if gram and seen[lang, ""] * 2 >= seen[lang, None]:
             counts[lang][gram] = counts[lang].get(gram, 0) + n
-    return Profiles.bundle(counts)
+    return Profiles.bundle(counts, remember=True)
 
 
 _judges: dict[bytes, Judge] = {}
@@ -318,12 +325,13 @@ _ARROW = pa.list_(pa.struct([("seg_no", pa.int32()), ("lang", pa.string()), ("co
 def segment_column(df: DataFrame, text: Column, profiles: Profiles) -> Column:
     """Segments of a text in order; none, never null, for null, empty and blank texts and for texts without a sentence."""
     ship_package(df.sparkSession)
-    langs, matrix = profiles.langs, profiles.matrix.tobytes()
+    langs, matrix, known, products = profiles.langs, profiles.matrix.tobytes(), "\n".join(profiles.grams), profiles.products.tobytes()
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         key = zlib.crc32(matrix).to_bytes(4, "big")
         if key not in _judges:
-            _judges[key] = Judge(Profiles(langs, np.frombuffer(matrix, np.float32).reshape(len(langs), DIMENSIONS)))
+            shaped = lambda b, width: np.frombuffer(b, np.float32).reshape(-1, width)
+            _judges[key] = Judge(Profiles(langs, shaped(matrix, DIMENSIONS), known.split("\n") if known else [], shaped(products, len(langs))))
         judge = _judges[key]
         for b in batches:
             yield pa.array([segments(judge, t) for t in b.to_pylist()], _ARROW)
