@@ -47,6 +47,7 @@ _HIDDEN = regex.compile(r"[\p{Cf}\p{M}️--[̀-ͯ]]", flags=regex.V1)
 _LOG = regex.compile(r"^\s*(\d{4}-\d\d-\d\dT[\d:.]+Z?\b.*|\{.*\}|\[REDACTED_\w+\]\s*=>.*|<\|.*|0x[0-9a-fA-F]+.*|--+\s.*|[A-Za-z_]+=\S+(\s+[A-Za-z_]+=\S+)*)\s*$")
 _HEAD = regex.compile(r"^\s*(?:[>*\-•#|\s]+|\d+[.)]\s+|(?:user|assistant|system|human|ai)\s*:\s*)+", flags=regex.I)
 _SIGNED = regex.compile(r"(?:^|\s)--\s")
+_MEASURE = regex.compile(r"\b(?:BP|HR|RR|SpO2|eGFR|BMI|T) +\d", flags=regex.I)
 _VITALS = regex.compile(r"\b(?:BP|HR|T|RR|SpO2|eGFR|BMI)\s+\d[\d./]*\s?%?", flags=regex.I)
 #: Abbreviations whose full stop ends no sentence (fixed values).
 _ABBREVIATIONS = frozenset("см стр ул кв д г т dr mr mrs ms st nr no sr sra prof pag pág pags págs ca cf vs bzw usw etc ext tel".split())
@@ -110,35 +111,59 @@ def _split(line: str) -> list[str]:
     return [*out, line[at:]]
 
 
+_LATIN_WORD, _CYRILLIC_WORD = regex.compile(r"\p{Latin}+"), regex.compile(r"\p{Cyrillic}+")
+
+
+#: What isn't a letter becomes a blank.
+_ASCII_GAPS = {i: " " for i in range(128) if not chr(i).isalpha()}
+
+
+def _words(text: str) -> str:
+    low = without_codes(text).lower()
+    return low.translate(_ASCII_GAPS) if low.isascii() else _GAPS.sub(" ", low)
+
+
+def _one_script_words(words: str) -> str:
+    if not words.isascii() and _CYRILLIC_WORD.search(words):
+        latin, cyrillic = (sum(map(len, rx.findall(words))) for rx in (_LATIN_WORD, _CYRILLIC_WORD))
+        words = (_LATIN_WORD if cyrillic > latin else _CYRILLIC_WORD).sub(" ", words)
+    return f" {' '.join(words.split())} "
+
+
+def plain(text: str) -> str:
+    """Lower-case words with single blanks around each. Words of the script that is rarer in the text, as names of drugs, are left out."""
+    return _one_script_words(_words(text))
+
+
 def sentences(text: str) -> list[str]:
+    return [s for s, _ in _sentences(text)]
+
+
+def _sentences(text: str) -> list[tuple[str, str]]:
     """The whole sentences of a text, in order: at least LEAST_WORDS words and an end mark. Log lines, role marks, quote and
-    list marks, measurements, codes, addresses, placeholders and signatures are taken away first and are no sentences."""
-    text, out = U.normalize("NFKC", _HIDDEN.sub("", text)), []
+    list marks, measurements, codes, addresses, placeholders and signatures are taken away first and are no sentences. Each with its plain words."""
+    out = []
+    if not text.isascii():
+        text = U.normalize("NFKC", _HIDDEN.sub("", text))
     for line in text.splitlines():
         if not line.strip() or _LOG.match(line):
             continue
         line = _HEAD.sub("", line)
-        line = _SIGNED.split(line)[0]
-        line = one_script(_VITALS.sub(" ", line))
-        for s in _split(line.rstrip()):
-            s = _HEAD.sub("", s.strip())
-            if s[-1:] and s.rstrip(_CLOSERS)[-1:] in _STOPS and len(_WORD.findall(without_codes(s))) >= LEAST_WORDS:
-                out.append(s)
+        if "--" in line:
+            line = _SIGNED.split(line)[0]
+        if _MEASURE.search(line):
+            line = _VITALS.sub(" ", line)
+        for s in _split(one_script(line).strip()):
+            s = s.strip()
+            if s and (not s[0].isalpha() or ":" in s[:12]):
+                s = _HEAD.sub("", s)
+            if s and s.rstrip(_CLOSERS)[-1:] in _STOPS:
+                words = _words(s)
+                if sum(len(w) > 1 for w in words.split()) >= LEAST_WORDS:
+                    out.append((s, _one_script_words(words)))
     return out
 
 
-_LATIN_WORD, _CYRILLIC_WORD = regex.compile(r"\p{Latin}+"), regex.compile(r"\p{Cyrillic}+")
-
-
-def plain(text: str) -> str:
-    """Lower-case words with single blanks. Words of the script that is rarer in the text, as names of drugs, are left out."""
-    low = without_codes(text).lower()
-    if not low.isascii() and _CYRILLIC_WORD.search(low):
-        latin, cyrillic = (sum(map(len, rx.findall(low))) for rx in (_LATIN_WORD, _CYRILLIC_WORD))
-        low = (_LATIN_WORD if cyrillic > latin else _CYRILLIC_WORD).sub(" ", low)
-    return " " + _GAPS.sub(" ", low).strip() + " "
-
-
 def folded(text: str) -> tuple[str, str]:
     """Letters in lower case with single blanks, and the same without accents."""
     low = plain(text)
@@ -231,9 +256,9 @@ class Judge:
         length = np.sqrt(sum(n * n for n in Counter(gs).values()) * DIMENSIONS)
         return self.products(gs) / length
 
-    def judge(self, sentence: str) -> tuple[str, float, str, bool]:
+    def judge(self, sentence: str, words: str | None = None) -> tuple[str, float, str, bool]:
         """The language, a confidence from 0 to 1, the next language, and whether the margin between them is large enough."""
-        key = plain(sentence)
+        key = plain(sentence) if words is None else words
         if key not in self.known:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
@@ -245,24 +270,26 @@ class Judge:
         return self.known[key]
 
 
-def segments(judge: Judge, text: str | None) -> list[dict]:
-    """Runs of sentences in one language: seg_no, lang, confidence (the mean of the sentences'), n_sentences, n_chars, text.
+def segments(judge: Judge, text: str | None, texts: bool = True) -> list[dict]:
+    """Runs of sentences in one language: seg_no, lang, confidence (the mean of the sentences'), n_sentences, n_chars, text (null without `texts`).
 
     A sentence between two languages takes the one that the text's certain sentences are in, if only one of the two is.
     """
     out: list[dict] = []
-    found = [(s, judge.judge(s)) for s in sentences(text or "")]
+    found = [(s, judge.judge(s, words)) for s, words in _sentences(text or "")]
     certain = {lang for _, (lang, _, _, far) in found if far}
     for s, (lang, sure, other, far) in found:
         if not far and lang not in certain and other in certain:
             lang, sure = other, round(1 - sure, 4)
         if not out or out[-1]["lang"] != lang:
-            out.append({"seg_no": len(out), "lang": lang, "confidence": 0.0, "n_sentences": 0, "n_chars": 0, "text": ""})
+            out.append({"seg_no": len(out), "lang": lang, "confidence": 0.0, "n_sentences": 0, "n_chars": 0, "text": []})
         last = out[-1]
         last["confidence"] = (last["confidence"] * last["n_sentences"] + sure) / (last["n_sentences"] + 1)
         last["n_sentences"] += 1
         last["n_chars"] += len(s)
-        last["text"] += (" " if last["text"] else "") + s
+        last["text"].append(s)
+    for x in out:
+        x["text"] = " ".join(x["text"]) if texts else None
     return out
 
 
@@ -322,7 +349,7 @@ SEGMENT = "array<struct<seg_no:int,lang:string,confidence:double,n_sentences:int
 _ARROW = pa.list_(pa.struct([("seg_no", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("n_sentences", pa.int32()), ("n_chars", pa.int32()), ("text", pa.string())]))
 
 
-def segment_column(df: DataFrame, text: Column, profiles: Profiles) -> Column:
+def segment_column(df: DataFrame, text: Column, profiles: Profiles, texts: bool = True) -> Column:
     """Segments of a text in order; none, never null, for null, empty and blank texts and for texts without a sentence."""
     ship_package(df.sparkSession)
     langs, matrix, known, products = profiles.langs, profiles.matrix.tobytes(), "\n".join(profiles.grams), profiles.products.tobytes()
@@ -334,20 +361,20 @@ def segment_column(df: DataFrame, text: Column, profiles: Profiles) -> Column:
             _judges[key] = Judge(Profiles(langs, shaped(matrix, DIMENSIONS), known.split("\n") if known else [], shaped(products, len(langs))))
         judge = _judges[key]
         for b in batches:
-            yield pa.array([segments(judge, t) for t in b.to_pylist()], _ARROW)
+            yield pa.array([segments(judge, t, texts) for t in b.to_pylist()], _ARROW)
 
     # Named nondeterministic so that no filter on its result is pushed below it and evaluates it again.
     return F.arrow_udf(run, SEGMENT).asNondeterministic()(text.cast("string"))
 
 
-def identify(docs: DataFrame, codes: DataFrame, profiles: Profiles | None = None) -> DataFrame:
-    """doc_id, label_lang, lang, confidence, langs (of its whole sentences, sorted), segments.
+def identify(docs: DataFrame, codes: DataFrame, profiles: Profiles | None = None, texts: bool = True) -> DataFrame:
+    """doc_id, label_lang, lang, confidence, langs (of its whole sentences, sorted), segments (without their texts if `texts` is false).
 
     lang is that of most sentence characters, ties by code, and confidence its segments' mean weighted by characters; both are null where no
     sentence is. Row by row after fitting, without a shuffle; repeated rows are each judged; extra columns are dropped.
     """
     profiles = fit(docs, codes) if profiles is None else profiles
-    held = label_language(spread(docs.select("doc_id", "lang", "text"), "doc_id"), codes).withColumn("segments", segment_column(docs, F.col("text"), profiles)).select("doc_id", "label_lang", "segments")
+    held = label_language(spread(docs.select("doc_id", "lang", "text"), "doc_id"), codes).withColumn("segments", segment_column(docs, F.col("text"), profiles, texts)).select("doc_id", "label_lang", "segments")
     per = F.transform(F.array_sort(F.array_distinct(F.transform("segments", lambda s: s["lang"]))), lambda lang: F.struct(
         F.aggregate(F.filter("segments", lambda s: s["lang"] == lang), F.lit(0), lambda n, s: n + s["n_chars"]).alias("n"), lang.alias("lang"),
         F.aggregate(F.filter("segments", lambda s: s["lang"] == lang), F.lit(0.0), lambda n, s: n + s["n_chars"] * s["confidence"]).alias("c")))

@@ -72,8 +72,8 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mixed(spark, sf)[1]
 
 
-def _judged(spark: SparkSession, sf: str) -> DataFrame:
-    return identify(table(spark, sf, "documents"), table(spark, sf, "lang_codes"))
+def _judged(spark: SparkSession, sf: str, texts: bool = False) -> DataFrame:
+    return identify(table(spark, sf, "documents"), table(spark, sf, "lang_codes"), texts=texts)
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,7 +85,7 @@ def p8_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_segments(spark: SparkSession, sf: str) -> DataFrame:
-    return rows_of(_judged(spark, sf), F.col("segments"), "doc_id", item="s").select("doc_id", "s.*")
+    return rows_of(_judged(spark, sf, True), F.col("segments"), "doc_id", item="s").select("doc_id", "s.*")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p4_found, p4_clean, p4_surrogates, p6_ids, p7_mix, p7_shares, p8_found, p8_documents, p8_segments)}
