@@ -12,6 +12,7 @@ from ..functions.keys import instant, norm_key
 from ..operators import attest, detect, vault
 from ..sources.sinks import dispatch
 from ..sources.tables import table
+from .scrub_queries import SSN_RE2, digit_view
 
 #: For the registered queries only; real keys come from functions.crypto.load_key.
 _KEY = b"no secret: key of the registered"[:32]
@@ -159,14 +160,11 @@ def _hmac(message: str) -> str:
 
 
 _N = r"lower(regexp_replace({}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'))"
-_A, _G, _S = r"(?:00[1-9]|0[1-9]\d|[1-578]\d{2}|6[0-57-9]\d|66[0-57-9])", r"(?:0[1-9]|[1-9]\d)", r"(?:000[1-9]|00[1-9]\d|0[1-9]\d{2}|[1-9]\d{3})"
-_SSN2 = rf"\b(?:{_A}-{_G}-{_S}|{_A}\.{_G}\.{_S}|{_A} {_G} {_S})\b"
-_VIEW = r"regexp_replace(regexp_replace(payload, '[^\x00-\x7F\p{L}\p{N}]', '~', 'g'), '[^\x00-\x7F]', 'x', 'g')"
-_Q = lambda c: f"coalesce('\"' || {c} || '\"', 'null')"
+_FOUND = f"regexp_extract_all({digit_view('payload')}, '{SSN_RE2}')"
 _CHAIN = rf"""
 WITH RECURSIVE ev AS (
   SELECT replica AS chain_id, lower(trim(transaction_id)) AS tx, strftime(received_at, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS issued_at,
-    CASE WHEN len(regexp_extract_all({_VIEW}, '{_SSN2}')) > 0 THEN 'HIPAA_SSN' END AS cls, coalesce(length(payload), 0) AS ci, coalesce(length(regexp_replace({_VIEW}, '{_SSN2}', '[REDACTED_SSN]', 'g')), 0) AS co,
+    CASE WHEN len({_FOUND}) > 0 THEN 'HIPAA_SSN' END AS cls, coalesce(length(payload), 0) AS ci, coalesce(length(payload) + list_sum(list_transform([''] || {_FOUND}, lambda y: CASE WHEN y = '' THEN 0 ELSE 14 - length(y) END)), 0) AS co,
     CASE WHEN request_id % 3 = 0 THEN 'model-é' END AS tgt, CAST(row_number() OVER (PARTITION BY replica ORDER BY received_at, request_id) - 1 AS INT) AS pos FROM scrub_requests
 ), chain AS (
   SELECT chain_id, CAST(-1 AS INT) AS pos, sha256('{GENESIS}') AS h, CAST(NULL AS VARCHAR) AS prev FROM (SELECT DISTINCT chain_id FROM ev)

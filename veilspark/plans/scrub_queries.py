@@ -207,8 +207,15 @@ def _view(c: str, digits: bool = True) -> str:
     return rf"regexp_replace(regexp_replace({plain}, '[^\x00-\x7F\p{{L}}\p{{N}}]', '~', 'g'), '[^\x00-\x7F]', 'x', 'g')"
 
 
-_A, _G, _S = r"(?:00[1-9]|0[1-9]\d|[1-578]\d{2}|6[0-57-9]\d|66[0-57-9])", r"(?:0[1-9]|[1-9]\d)", r"(?:000[1-9]|00[1-9]\d|0[1-9]\d{2}|[1-9]\d{3})"
-_SSN2 = rf"\b(?:{_A}-{_G}-{_S}|{_A}\.{_G}\.{_S}|{_A} {_G} {_S})\b"
+def digit_view(c: str) -> str:
+    """Of the same length: letters as x, digits of other scripts as A to J. A number's first digit must be an ASCII one, the rest may be any."""
+    marked = f"translate(regexp_replace({c}, '[A-Za-z_]', 'x', 'g'), '٠١٢٣٤٥٦٧٨٩０１２３４５６７８９', 'ABCDEFGHIJABCDEFGHIJ')"
+    return rf"regexp_replace(regexp_replace({marked}, '[^\x00-\x7F\p{{L}}\p{{N}}]', '~', 'g'), '[^\x00-\x7F]', 'x', 'g')"
+
+
+_A, _G, _S = r"(?:[1-578]D{2}|0(?:0N|ND)|6(?:[0-57-9A-J]D|6[0-57-9A-J]))", r"(?:0N|ND)", r"(?:000N|00ND|0NDD|NDDD)"
+SSN_RE2 = rf"\b(?:{_A}-{_G}-{_S}|{_A}\.{_G}\.{_S}|{_A} {_G} {_S})\b".replace("D", "[0-9A-J]").replace("N", "[1-9A-J]")
+DASHED_RE2 = rf"\b{_A}-{_G}-{_S}\b".replace("D", "[0-9A-J]").replace("N", "[1-9A-J]")
 _PAN2 = r"\b(?:\d[ -]*?){13,19}\b"
 _O = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _RE2 = {
@@ -219,6 +226,8 @@ _RE2 = {
     "BANK_NUMBER": r"\b\d{8,17}\b",
 }
 _LEN = lambda l: f"coalesce(list_sum(list_transform({l}, lambda x: length(x))), 0)"
+#: The text t with what lies at the places of the matches kc, between the gaps kg, replaced.
+_CUT = f"array_to_string(list_transform(range(1, 1 + len(kg)), lambda i: substr(t, CAST(1 + {_LEN('kg[1:i-1]')} + {_LEN('kc[1:i-1]')} AS BIGINT), length(kg[i]))), '[REDACTED_SSN]')"
 _LUHN = r"""(length({d}) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, 1 + length({d})), lambda k: CASE WHEN k % 2 = 1 THEN CAST(substr(reverse({d}), CAST(k AS INT), 1) AS INT) WHEN CAST(substr(reverse({d}), CAST(k AS INT), 1) AS INT) > 4 THEN CAST(substr(reverse({d}), CAST(k AS INT), 1) AS INT) * 2 - 9 ELSE CAST(substr(reverse({d}), CAST(k AS INT), 1) AS INT) * 2 END)) % 10 = 0)"""
 
 
@@ -244,8 +253,8 @@ _RAW = f"WITH raw AS (SELECT request_id, {_view('payload')} AS t FROM scrub_requ
 
 def _pipeline(table_: str, key: str, text: str, more: str = "") -> str:
     """CTEs up to `merged` and `done` (key, clean) for the whole scrub."""
-    return rf"""WITH t0 AS (SELECT {key}{more}, {_view(text)} AS t FROM {table_}),
-t1 AS (SELECT *, len(regexp_extract_all(t, '{_SSN2}')) AS ssn, regexp_replace(t, '{_SSN2}', '[REDACTED_SSN]', 'g') AS u FROM t0),
+    return rf"""WITH t0 AS (SELECT {key}{more}, {_view(text)} AS t, {digit_view(text)} AS k FROM {table_}),
+t1 AS (SELECT * EXCLUDE (k, kc, kg), len(kc) AS ssn, {_CUT} AS u FROM (SELECT *, regexp_extract_all(k, '{SSN_RE2}') AS kc, regexp_split_to_array(k, '{SSN_RE2}') AS kg FROM t0)),
 t2 AS (SELECT *, regexp_extract_all(u, '{_PAN2}') AS c, regexp_split_to_array(u, '{_PAN2}') AS g FROM t1),
 t3 AS (SELECT *, coalesce(len(list_filter(c, lambda y: {_luhn("y")})), 0) AS pan, CASE WHEN len(c) = 0 THEN u ELSE array_to_string(list_transform(range(1, 1 + len(g)), lambda i: g[i] || coalesce(CASE WHEN {_luhn("c[i]")} THEN '[REDACTED_PAN]' ELSE c[i] END, '')), '') END AS w FROM t2),
 src AS (SELECT {key}{more}, ssn, pan, w AS t, length(t3.t) AS chars_in FROM t3)
@@ -260,13 +269,13 @@ flags AS (SELECT {key}, flag, CAST(sum(n) AS INT) AS n FROM (
 _CITE = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in CITATIONS.items()) + ") cite(flag, cfr_citation)"
 _REQUESTS = _pipeline("scrub_requests", "request_id", "payload")
 
-_BODY = "(SELECT request_id, CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.messages[0].content') ELSE payload END AS payload, json_valid(payload) AS is_json FROM scrub_requests) q"
+_BODY = "(SELECT request_id, CASE WHEN json_valid(payload) THEN coalesce(json_extract_string(payload, '$.*[*].content')[1], json_extract_string(payload, '$.*[*].CONTENT')[1]) ELSE payload END AS payload, json_valid(payload) AS is_json FROM scrub_requests) q"
 
 ORACLE = {
     "json_flag_sum": _pipeline(_BODY, "request_id", "payload", ", is_json") + " SELECT is_json, flag, CAST(sum(n) AS BIGINT) AS total FROM flags JOIN src USING (request_id) GROUP BY is_json, flag",
-    "ssn_detect": f"SELECT request_id, CAST(len(regexp_extract_all({_view('payload', False)}, '{_SSN2}')) AS INT) AS n FROM scrub_requests",
-    "ssn_redact": f"SELECT request_id, regexp_replace({_view('payload')}, '{_SSN2}', '[REDACTED_SSN]', 'g') AS text FROM scrub_requests",
-    "ssn_invalid_filter": rf"SELECT * FROM (SELECT request_id, CAST(len(regexp_extract_all({_view('payload', False)}, '\b\d{{3}}-\d{{2}}-\d{{4}}\b')) AS INT) AS shaped, CAST(len(regexp_extract_all({_view('payload', False)}, '\b{_A}-{_G}-{_S}\b')) AS INT) AS valid FROM scrub_requests) WHERE shaped > valid",
+    "ssn_detect": f"SELECT request_id, CAST(len(regexp_extract_all({digit_view('payload')}, '{SSN_RE2}')) AS INT) AS n FROM scrub_requests",
+    "ssn_redact": _REQUESTS + " SELECT request_id, u AS text FROM t1",
+    "ssn_invalid_filter": rf"SELECT * FROM (SELECT request_id, CAST(len(regexp_extract_all({digit_view('payload')}, '\b[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}\b')) AS INT) AS shaped, CAST(len(regexp_extract_all({digit_view('payload')}, '{DASHED_RE2}')) AS INT) AS valid FROM scrub_requests) WHERE shaped > valid",
     "pan_candidates": f"SELECT request_id, unnest(regexp_extract_all({_view('payload')}, '{_PAN2}')) AS candidate FROM scrub_requests",
     "luhn_valid": f"SELECT request_id, count(*) FILTER ({_luhn('c')}) AS valid, count(*) AS candidates FROM (SELECT request_id, unnest(regexp_extract_all({_view('payload')}, '{_PAN2}')) AS c FROM scrub_requests) GROUP BY request_id",
     "pan_redact": _REQUESTS + " SELECT request_id, w AS text FROM t3",
