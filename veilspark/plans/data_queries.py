@@ -169,6 +169,24 @@ SELECT 'response_batches' AS record_table, batch_id AS record_id, item_path, par
 UNION ALL SELECT 'scrub_responses', response_id, '0', NULL, clean_text, audit_log.transaction_id, audit_log.original_char_count, audit_log.redacted_char_count FROM scrub_responses""",
     "p5_entities": _BODIES + """
 SELECT 'response_batches' AS record_table, batch_id AS record_id, item_path, CAST(i AS INT) AS ordinal, CAST(x->>'$.start' AS INT) AS "start", CAST(x->>'$.end' AS INT) AS "end", x->>'$.entity_type' AS entity_type, x->>'$.flag' AS flag, x->>'$.placeholder' AS placeholder FROM entity_rows""",
+    "p5_classes": _BODIES + """, named AS (
+  SELECT 'response_batches' AS record_table, batch_id AS record_id, item_path, l, CAST(i AS BIGINT) AS i, n FROM class_rows WHERE n IS NOT NULL
+  UNION ALL SELECT 'scrub_responses', response_id, '0', 'pii_classes_detected', i, compliance_receipt.pii_classes_detected[i] FROM scrub_responses, unnest(range(1, 1 + len(compliance_receipt.pii_classes_detected))) t(i)
+  UNION ALL SELECT 'scrub_responses', response_id, '0', 'pii_classes_redacted', i, compliance_receipt.pii_classes_redacted[i] FROM scrub_responses, unnest(range(1, 1 + len(compliance_receipt.pii_classes_redacted))) t(i))
+SELECT record_table, record_id, item_path, CAST(row_number() OVER (PARTITION BY record_table, record_id, item_path ORDER BY l, i) - 1 AS INT) AS ordinal, l AS child_list, n AS pii_class FROM named WHERE n IS NOT NULL""",
+    "p5_flags": _BODIES + """, named AS (
+  SELECT 'response_batches' AS record_table, batch_id AS record_id, item_path, l, k AS flag, k AS ord, CAST(CASE json_type(x) WHEN 'OBJECT' THEN x->>'$.count' WHEN 'UBIGINT' THEN x->>'$' END AS INT) AS n, CASE WHEN json_type(x) = 'OBJECT' THEN x->>'$.cfr_citation' END AS c
+    FROM (SELECT batch_id, item_path, l, k, v->('$."' || k || '"') AS x FROM flag_values, unnest(CASE WHEN json_type(v) = 'OBJECT' THEN json_keys(v) ELSE [] END) t(k))
+  UNION ALL SELECT 'response_batches', batch_id, item_path, l, v->>('$[' || i || '].flag'), lpad(CAST(i AS VARCHAR), 6, '0'), CAST(v->>('$[' || i || '].count') AS INT), v->>('$[' || i || '].cfr_citation')
+    FROM flag_values, unnest(range(CASE WHEN json_type(v) = 'ARRAY' THEN CAST(json_array_length(v) AS BIGINT) ELSE 0 END)) t(i)
+  UNION ALL SELECT 'scrub_responses', response_id, '0', 'flags_triggered', map_keys(audit_log.flags_triggered)[i], lpad(CAST(i AS VARCHAR), 6, '0'), map_values(audit_log.flags_triggered)[i].count, map_values(audit_log.flags_triggered)[i].cfr_citation FROM scrub_responses, unnest(range(1, 1 + len(map_keys(audit_log.flags_triggered)))) t(i)
+  UNION ALL SELECT 'scrub_responses', response_id, '0', 'flags_redacted', map_keys(audit_log.flags_redacted)[i], lpad(CAST(i AS VARCHAR), 6, '0'), map_values(audit_log.flags_redacted)[i].count, map_values(audit_log.flags_redacted)[i].cfr_citation FROM scrub_responses, unnest(range(1, 1 + len(map_keys(audit_log.flags_redacted)))) t(i))
+SELECT record_table, record_id, item_path, CAST(row_number() OVER (PARTITION BY record_table, record_id, item_path ORDER BY CASE l WHEN 'flags_triggered' THEN 0 ELSE 1 END, ord) - 1 AS INT) AS ordinal, l AS child_list, flag, n AS count, c AS cfr_citation FROM named WHERE flag IS NOT NULL""",
+    "p5_receipts": _BODIES + """
+SELECT 'response_batches' AS record_table, batch_id AS record_id, item_path, c->>'$.receipt_id' AS receipt_id, c->>'$.transaction_id' AS transaction_id, c->>'$.issued_at' AS issued_at, c->>'$.issuer' AS issuer, c->>'$.downstream_target' AS downstream_target, c->>'$.previous_receipt_hash' AS previous_receipt_hash, c->>'$.receipt_hash' AS receipt_hash,
+  CAST(c->>'$.payload_char_count_in' AS INT) AS payload_char_count_in, CAST(c->>'$.payload_char_count_out' AS INT) AS payload_char_count_out, CAST(c->>'$.chars_removed' AS INT) AS chars_removed, CAST(c->>'$.chain_position' AS INT) AS chain_position, CAST(c->>'$.zero_pii_egress_confirmed' AS BOOLEAN) AS zero_pii_egress_confirmed,
+  array_to_string(CAST(c->'$.compliance_frameworks' AS VARCHAR[]), '|') AS compliance_frameworks FROM resp WHERE c IS NOT NULL
+UNION ALL SELECT 'scrub_responses', response_id, '0', r.receipt_id, r.transaction_id, r.issued_at, r.issuer, r.downstream_target, r.previous_receipt_hash, r.receipt_hash, r.payload_char_count_in, r.payload_char_count_out, r.chars_removed, r.chain_position, r.zero_pii_egress_confirmed, array_to_string(r.compliance_frameworks, '|') FROM (SELECT response_id, compliance_receipt AS r FROM scrub_responses) WHERE r IS NOT NULL""",
     "p5_flattened_receipts": """
 SELECT response_id || '/compliance_receipt_pii_classes_detected/' || (i - 1) AS row_key, CAST(response_id AS VARCHAR) AS parent_key, CAST(i - 1 AS INT) AS ordinal, compliance_receipt.pii_classes_detected[i] AS value
 FROM scrub_responses, unnest(range(1, 1 + len(compliance_receipt.pii_classes_detected))) t(i)""",
