@@ -124,6 +124,33 @@ def test_surrogate_collisions_are_resolved(spark, monkeypatch):
     assert len({surrogate.core(u, key, 0) for u in units}) == 1 and len({surrogate.core(u, key, 1) for u in units}) == 40
 
 
+def surrogate_texts(spark, texts, key=b"key"):
+    names = spark.createDataFrame([(n,) for n in GIVEN], "given_name string")
+    got = {r.id: r.surrogate_text for r in surrogate.with_surrogates(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t", names, key).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_written_surrogates_differ(spark):
+    # 90 addresses of two digits have 300 surrogates at first; 1,000 of one word had 27,648. Every initial is in use.
+    words = [f"{a}{b}{c}" for a in "bcdfghklmn" for b in "aeiouyrlsz" for c in "bcdfghklmn"]
+    mails = [f"{n}@clinic.example" for n in range(10, 100)] + [f"{w}@clinic.example" for w in words]
+    texts = [f"mail {m} now" for m in mails] + [f"mail {m.upper()} now" for m in mails[:90]] + [f"Mrs. {c}. Zareda was seen" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZØŁÆ"]
+    got = surrogate_texts(spark, texts)
+    n = len(mails)
+    assert len(set(got[:n])) == n and not {*got[:n]} & {*texts}
+    assert [t.casefold() for t in got[n : n + 90]] == [t.casefold() for t in got[:90]]
+    assert len(set(got[n + 90 :])) == 29 and not any(a.split()[1] == b.split()[1] for a, b in zip(got[n + 90 :], texts[n + 90 :]))
+
+
+def test_no_surrogate_is_a_piece_of_the_texts(spark):
+    mail = "EMAIL:jane@b.example"
+    taken = surrogate.written(mail, "jane@b.example", GIVEN, b"k", 0)
+    name = surrogate.written("NAME:s:zareda", "", GIVEN, b"k", 0)
+    rows = [(mail, "jane@b.example"), (mail, "JANE (at) b.example"), (taken, taken[6:]), ("NAME:s:zareda", ""), ("NAME:g:" + name[5:], ""), ("NAME:s:other", "")]
+    got = surrogate._attempts(spark.createDataFrame(rows, "unit string, form string"), GIVEN, b"k").collect()
+    assert sorted(map(tuple, got)) == [(mail, 1), ("NAME:s:zareda", 1)]
+
+
 # ---- tokens -----------------------------------------------------------------------------------------------------------------
 
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
+import sys
 import unicodedata as U
 from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import rows_of
 from ..operators.skew import salted_left_join
 from ..session import checkpoint_dir, ship_package, spread
 from .pii import _TYPES, given_names, pieces, visible
@@ -88,8 +91,34 @@ def units(kind: str, piece: str, given: frozenset[str]) -> list[str]:
     return [f"{kind}:" + regex.sub(r"[^\p{L}\p{N}]", "", fold(seen))]
 
 
+@functools.lru_cache(64)
+def _initials(key: bytes, kind: str, script: str) -> dict[str, str]:
+    """Each letter without accents of a category and script, to the next in a keyed order: different initials stay different, and none stays as it is."""
+    letters = [c for c in map(chr, range(sys.maxunicode + 1)) if U.category(c) == kind and U.normalize("NFD", c) == c and U.name(c, "").split(" ")[0] == script]
+    ring = sorted(letters, key=lambda c: hmac.new(key, f"initial\x1f{c}".encode(), hashlib.sha256).digest())
+    return dict(zip(ring, ring[1:] + ring[:1]))
+
+
+@functools.lru_cache(4096)
+def _initial(letter: str, key: bytes) -> str:
+    up = letter.upper()
+    c = U.normalize("NFD", up if len(up) == 1 else letter)[0]
+    names = U.name(c, "").split(" ")
+    if names[0] in ("LATIN", "CYRILLIC"):
+        common = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if names[0] == "LATIN" else "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ"
+        ring = sorted(common, key=lambda x: hmac.new(key, f"initial\x1f{x}".encode(), hashlib.sha256).digest())
+        if c in common:
+            return ring[(ring.index(c) + 1) % len(ring)]
+        rest = _initials(key, U.category(c), names[0])
+        new = rest.get(c, c)
+        while new.upper() in common:  # the common letters are taken among themselves
+            new = rest[new]
+        return new
+    return _initials(key, U.category(c), names[0]).get(c, c)
+
+
 def core(unit: str, key: bytes, attempt: int) -> str:
-    """A unit's surrogate in plain form, by which distinctness is checked; attempt 0 unless it collides."""
+    """What a unit's surrogate is made of: a name's token in small letters, a seed else. attempt 0 unless the surrogate collides."""
     kind, _, rest = unit.partition(":")
     s = _bytes(key, unit, attempt)
     if kind == "NAME":
@@ -108,8 +137,7 @@ def replace(kind: str, piece: str, given: frozenset[str], key: bytes, attempts:
             role, token = next(roles)
             out.append(seen[at : m.start()])
             if role == "i":
-                s = _bytes(key, "initial", token.casefold())
-                new = ("АБВГДЕКЛМНПРСТ" if _script(token) == "Cyrillic" else "ABCDEFGHKLMNPRST")[next(s) % 14] + ("." if token.endswith(".") else "")
+                new = _initial(token[0], key) + ("." if token.endswith(".") else "")
             else:
                 unit = units("NAME", seen, given)
                 mine = [u for u in unit if u.split(":", 2)[1] == role and u.endswith(":" + "".join(c for c in U.normalize("NFD", token.casefold()) if not U.combining(c)))][0]
@@ -118,12 +146,13 @@ def replace(kind: str, piece: str, given: frozenset[str], key: bytes, attempts:
             at = m.end()
         return "".join(out) + seen[at:]
     unit = units(kind, piece, given)[0]
-    s = _bytes(key, core(unit, key, attempts.get(unit, 0)))
+    attempt = attempts.get(unit, 0)
+    s = _bytes(key, core(unit, key, attempt))
     if kind == "EMAIL":
         m = regex.match(r"(?is)(.*?)(\s?[\[({]?\s?(?:@|&#0*64;|&commat;|%40|(?<=\s|[(\[{])at(?=\s|[)\]}]))\s?[\])}]?\s?)(.*)", seen)
         local, sep, domain = m.groups() if m else (seen, "@", "")
         dot = " dot " if regex.search(r"(?i)\sdot\s", domain) else "."
-        new = "".join(_like(_word(s, "Latin", "", 2), x) if x.isalpha() else "".join(str(next(s) % 10) if c.isdigit() else c for c in x) for x in regex.findall(r"\p{L}+|\P{L}+", local))
+        new = "".join(_like(_word(s, "Latin", "", 3 + attempt), x) if x.isalpha() else "".join(str(next(s) % 10) if c.isdigit() else c for c in x) for x in regex.findall(r"\p{L}+|\P{L}+", local))
         return new + sep + "example" + dot + ("com", "net", "org")[next(s) % 3]
     if kind in ("PHONE", "IDENTITY"):
         out, first = [], True
@@ -144,57 +173,67 @@ def replace(kind: str, piece: str, given: frozenset[str], key: bytes, attempts:
     return regex.sub(r"\p{L}+|\d", lambda m: str(next(s) % 9 + 1) if m[0].isdigit() else word(m), seen)
 
 
-def _unit_table(df: DataFrame, text: str, given: frozenset[str]) -> DataFrame:
-    """Each unit of the column once."""
+def written(unit: str, form: str, given: frozenset[str], key: bytes, attempt: int) -> str:
+    """By which distinctness is checked: what is written for a unit in one of its forms, folded as units are (see plain)."""
+    kind = unit.partition(":")[0]
+    if kind == "NAME":
+        return "NAME:" + core(unit, key, attempt).casefold()
+    return units(kind, replace(kind, form, given, key, {unit: attempt}), given)[0]
+
+
+def plain(unit: Column) -> Column:
+    """A unit as surrogates are compared with it: of names the token in any role."""
+    return F.regexp_replace(unit, "^NAME:[a-z]:", "NAME:")
+
+
+def _forms(df: DataFrame, row_id: str, text: str, given: frozenset[str]) -> DataFrame:
+    """row_id, unit, form of each row's units: the form is the piece as it stands; names are replaced by token and have none."""
+    kind = pa.list_(pa.struct([("unit", pa.string()), ("form", pa.string())]))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            yield pa.array([sorted({u for p in pieces(t, given) for u in units(p.kind, p.text, given)}) for t in b.to_pylist()], pa.list_(pa.string()))
-
-    return df.select(F.explode(F.arrow_udf(run, "array<string>")(F.col(f"`{text}`").cast("string"))).alias("unit")).distinct()
+            found = [sorted({(u, "" if p.kind == "NAME" else p.text) for p in pieces(t, given) for u in units(p.kind, p.text, given)}) for t in b.to_pylist()]
+            yield pa.array([[{"unit": u, "form": f} for u, f in row] for row in found], kind)
 
+    made = F.arrow_udf(run, "array<struct<unit:string,form:string>>").asNondeterministic()
+    return rows_of(df.withColumn("_f", made(F.col(f"`{text}`").cast("string"))), F.col("_f"), row_id, item="f").select(row_id, "f.unit", "f.form")
 
-def _attempts(all_units: DataFrame, key: bytes) -> DataFrame:
-    """unit, attempt of the units whose first surrogate is taken by another unit or is itself a unit of the texts. Others have attempt 0."""
 
-    def surrogates(units_: pa.Array, attempts: pa.Array) -> pa.Array:
-        return pa.array([u.rsplit(":", 1)[0] + ":" + core(u, key, a).casefold() for u, a in zip(units_.to_pylist(), attempts.to_pylist())], pa.string())
+def _attempts(forms: DataFrame, given: frozenset[str], key: bytes) -> DataFrame:
+    """unit, attempt of the units whose first surrogate, as it is written in any of the unit's forms, is that of another unit or is itself a unit of the texts. Others have attempt 0."""
 
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for u, a in batches:
-            yield surrogates(u, a)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for us, fs, ats in batches:
+            yield pa.array([written(u, f, given, key, a) for u, f, a in zip(us.to_pylist(), fs.to_pylist(), ats.to_pylist())], pa.string())
 
-    made = F.arrow_udf(run, "string")
-    state = all_units.withColumn("attempt", F.lit(0))
+    made = F.arrow_udf(run, "string").asNondeterministic()
+    tried = lambda df: df.withColumn("s", made("unit", "form", "attempt"))
+    real = forms.select(plain(F.col("unit")).alias("s"), F.lit(True).alias("real")).distinct()
+    state = tried(forms.withColumn("attempt", F.lit(0))).checkpoint()
     for _ in range(ROUNDS):
-        tried = state.withColumn("s", made(F.col("unit"), F.col("attempt")))
-        owners = tried.groupBy("s").agg(F.min(F.struct(F.col("attempt"), F.col("unit"))).alias("o"), F.count("*").alias("n"))
-        real = state.select(F.col("unit").alias("s")).withColumn("real", F.lit(True))
-        clash = owners.join(real, "s", "left").where((F.col("n") > 1) | F.col("real")).select("s", F.when(F.col("real").isNull(), F.col("o.unit")).alias("owner"))
-        bad = tried.join(clash, "s", "left_semi").join(clash, "s").where(~F.col("unit").eqNullSafe(F.col("owner"))).select("unit", F.lit(1).alias("more")).checkpoint()
+        owners = state.groupBy("s").agg(F.min(F.struct("attempt", "unit")).alias("o"), F.min("unit").alias("least"), F.max("unit").alias("most"))
+        clash = owners.join(real, "s", "left").where((F.col("least") != F.col("most")) | F.col("real")).select("s", F.when(F.col("real").isNull(), F.col("o.unit")).alias("owner"))
+        bad = state.join(clash, "s").where(~F.col("unit").eqNullSafe(F.col("owner"))).select("unit").distinct().checkpoint()
         if bad.isEmpty():
             break
-        state = state.join(bad, "unit", "left").select("unit", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")).checkpoint()
-    return state.where(F.col("attempt") > 0)
+        moved = state.join(bad, "unit", "left_semi").select("unit", "form", (F.col("attempt") + 1).alias("attempt"))
+        state = state.join(bad, "unit", "left_anti").unionByName(tried(moved)).checkpoint()
+    return state.where(F.col("attempt") > 0).select("unit", "attempt").distinct()
 
 
 def with_surrogates(df: DataFrame, row_id: str, text: str, names: DataFrame, key: bytes, out: str = "surrogate_text") -> DataFrame:
     """row_id and the column `out`: the text with a keyed surrogate for each piece and otherwise unchanged; null stays null, a text without pieces stays as it is.
 
     The surrogate follows from the key and the piece's units alone, so equal pieces are equal in all texts (and in later
-    ones under the same key). Units are checked for collisions over the whole table, and the few that collide get a later
-    attempt, joined by unit; row_id must be unique.
+    ones under the same key). What is written for the units is checked for collisions over the whole table, and the few
+    units that collide get a later attempt, joined by unit; row_id must be unique.
     """
     ship_package(df.sparkSession)
     checkpoint_dir(df.sparkSession)
     given = given_names(names)
     base = spread(df.select(F.col(row_id), F.col(f"`{text}`").alias("_t")))
-    all_units = _unit_table(base, "_t", given).checkpoint()
-    later = _attempts(all_units, key)
-
-    def unit_list(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for b in batches:
-            yield pa.array([sorted({u for p in pieces(t, given) for u in units(p.kind, p.text, given)}) for t in b.to_pylist()], pa.list_(pa.string()))
+    found = _forms(base, row_id, "_t", given).checkpoint()
+    later = _attempts(found.select("unit", "form").distinct().checkpoint(), given, key)
 
     def rewrite(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, us, ats in batches:
@@ -212,7 +251,7 @@ def with_surrogates(df: DataFrame, row_id: str, text: str, names: DataFrame, key
     if later.isEmpty():
         per_row = base.withColumn("_u", F.array().cast("array<string>")).withColumn("_a", F.array().cast("array<int>"))
     else:
-        used = base.select(F.col(row_id), F.explode(F.arrow_udf(unit_list, "array<string>")("_t")).alias("unit"))
+        used = found.select(row_id, "unit").distinct()
         hit = salted_left_join(used, later, "unit", F.col(row_id)).where(F.col("attempt").isNotNull())
         few = hit.groupBy(row_id).agg(F.collect_list("unit").alias("_u"), F.collect_list("attempt").alias("_a"))
         per_row = base.join(few, row_id, "left")
