@@ -5,6 +5,7 @@ import random
 import unicodedata as U
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from veilspark.llm import bpe, langid, lookalike, mixing, pii, surrogate
@@ -151,6 +152,17 @@ def test_no_surrogate_is_a_piece_of_the_texts(spark):
     assert sorted(map(tuple, got)) == [(mail, 1), ("NAME:s:zareda", 1)]
 
 
+def test_collision_rounds_end_without_a_collision_or_fail(spark, monkeypatch):
+    # One digit has 30 mail surrogates and a street of one letter 9, all of them real here: these need later attempts.
+    mails, streets = [f"7@clinic{n}.example" for n in range(80)], [f"{n} A St" for n in range(1, 10)]
+    got = surrogate_texts(spark, [f"mail {m} now" for m in mails] + [f"live at {s}" for s in streets])
+    assert len(set(got)) == 80 + len(streets) and all(regex.search(r"@(\w+\.)?example\.(com|net|org) now$", t) for t in got[:80])
+    assert len({surrogate.core("NAME:s:zareda", b"k", a) for a in range(60)}) == 60 and len(surrogate.core("NAME:s:zareda", b"k", 30)) >= 28
+    monkeypatch.setattr(surrogate, "ROUNDS", 1)
+    with pytest.raises(ValueError, match="collide"):
+        surrogate._attempts(spark.createDataFrame([("EMAIL:" + m, m) for m in mails], "unit string, form string"), GIVEN, b"k")
+
+
 # ---- tokens -----------------------------------------------------------------------------------------------------------------
 
 

@@ -19,8 +19,9 @@ from ..operators.skew import salted_left_join
 from ..session import checkpoint_dir, ship_package, spread
 from .pii import _TYPES, given_names, pieces, visible
 
-#: Rounds of collision checks; each leaves the share of units that still collide, which is some 1e-6 after one.
-ROUNDS = 8
+#: Rounds of collision checks, which end when nothing collides. Mails, addresses and names get more surrogates with each attempt or every third;
+#: numbers keep their length, so where these are used up there is no distinct surrogate, and more rounds than this are an error.
+ROUNDS = 64
 _SYLLABLES = {
     "Latin": ["ba be bi bo bra dra da de do fe fi fa ga gre go ka ke kri la le li lo ma me mi mo na ne ni no pa pe pri ra re ro sa se ta te ti to tra va ve vi vo za".split(), {"f": ["lia", "rina", "sa", "mira"], "m": ["lan", "rto", "mas", "vin"], "": ["rel", "nis", "len", "dor"], "s": ["berg", "mann", "ley", "worth", "stedt", "ard", "ino", "ez"]}],
     "Cyrillic": ["ба бе бо бра да де до жа за ка ке ко ла ле ли ло ма ме ми мо на не ни но па пе ра ре ро са се со та те то ва ве ви во".split(), {"f": ["лина", "мира", "са"], "m": ["лан", "мир", "тон"], "": ["рель", "нис"], "s": ["енко", "ских", "ых", "чук"]}],
@@ -123,7 +124,7 @@ def core(unit: str, key: bytes, attempt: int) -> str:
     s = _bytes(key, unit, attempt)
     if kind == "NAME":
         role, _, token = rest.partition(":")
-        return _word(s, _script(token), gender(token) if role == "g" else "s", 3 + (attempt > 2))
+        return _word(s, _script(token), gender(token) if role == "g" else "s", 3 + attempt // 3)
     return "".join(f"{next(s):02x}" for _ in range(8))
 
 
@@ -153,7 +154,8 @@ def replace(kind: str, piece: str, given: frozenset[str], key: bytes, attempts:
         local, sep, domain = m.groups() if m else (seen, "@", "")
         dot = " dot " if regex.search(r"(?i)\sdot\s", domain) else "."
         new = "".join(_like(_word(s, "Latin", "", 3 + attempt), x) if x.isalpha() else "".join(str(next(s) % 10) if c.isdigit() else c for c in x) for x in regex.findall(r"\p{L}+|\P{L}+", local))
-        return new + sep + "example" + dot + ("com", "net", "org")[next(s) % 3]
+        more = _word(s, "Latin", "", attempt // 3) + dot if attempt > 2 else ""  # names of digits alone have few
+        return new + sep + more + "example" + dot + ("com", "net", "org")[next(s) % 3]
     if kind in ("PHONE", "IDENTITY"):
         out, first = [], True
         lead = regex.match(r"\(?(?:\+|00)\d{1,3}\)?|1[ .-]|\(?0", seen) if kind == "PHONE" else None
@@ -169,8 +171,10 @@ def replace(kind: str, piece: str, given: frozenset[str], key: bytes, attempts:
             else:
                 out.append(c)
         return "".join(out)
-    word = lambda m: m[0] if m[0].lower().strip(".") in _KEEP or len(m[0]) == 1 else _like(_word(s, _script(m[0]), "s", 2), m[0])
-    return regex.sub(r"\p{L}+|\d", lambda m: str(next(s) % 9 + 1) if m[0].isdigit() else word(m), seen)
+    word = lambda m: m[0] if m[0].lower().strip(".") in _KEEP or len(m[0]) == 1 else _like(_word(s, _script(m[0]), "s", 2 + attempt // 3), m[0])
+    new = regex.sub(r"\p{L}+|\d", lambda m: str(next(s) % 9 + 1) if m[0].isdigit() else word(m), seen)
+    more = "".join(str(next(s) % 9 + 1) for _ in range(attempt // 3))  # streets of one letter have few
+    return regex.sub(r"\d", lambda m: m[0] + more, new, count=1) if regex.search(r"\d", new) else new + " " * bool(more) + more
 
 
 def written(unit: str, form: str, given: frozenset[str], key: bytes, attempt: int) -> str:
@@ -215,10 +219,10 @@ def _attempts(forms: DataFrame, given: frozenset[str], key: bytes) -> DataFrame:
         clash = owners.join(real, "s", "left").where((F.col("least") != F.col("most")) | F.col("real")).select("s", F.when(F.col("real").isNull(), F.col("o.unit")).alias("owner"))
         bad = state.join(clash, "s").where(~F.col("unit").eqNullSafe(F.col("owner"))).select("unit").distinct().checkpoint()
         if bad.isEmpty():
-            break
+            return state.where(F.col("attempt") > 0).select("unit", "attempt").distinct()
         moved = state.join(bad, "unit", "left_semi").select("unit", "form", (F.col("attempt") + 1).alias("attempt"))
         state = state.join(bad, "unit", "left_anti").unionByName(tried(moved)).checkpoint()
-    return state.where(F.col("attempt") > 0).select("unit", "attempt").distinct()
+    raise ValueError(f"surrogates still collide after {ROUNDS} rounds")
 
 
 def with_surrogates(df: DataFrame, row_id: str, text: str, names: DataFrame, key: bytes, out: str = "surrogate_text") -> DataFrame:
