@@ -66,6 +66,7 @@ def kinds(text):
     ("SSN 260 09 9071. Reading 666-41-2517 and part 345-00-5565, setting 411-62.5994", [("IDENTITY", "260 09 9071")]),
     ("SS# 841205354 but lot 841205354", [("IDENTITY", "841205354")]),
     ("Versicherungsnummer 61 071268 W 782; N° sécu 1 33 05 34 331 229 43; DNI 81883258 S", [("IDENTITY", "61 071268 W 782"), ("IDENTITY", "1 33 05 34 331 229 43"), ("IDENTITY", "81883258 S")]),
+    ("national id AB 12 34 56 C", [("IDENTITY", "AB 12 34 56 C")]),
     ("Card 4111 1111 1111 1111 and https://a.example/v/70593?x=1", []),
     ("live at 1476 Old Kiln Rd, Apt 26D, Quillmere, OH 44099 since spring", [("ADDRESS", "1476 Old Kiln Rd, Apt 26D, Quillmere, OH 44099")]),
     ("Rehwinkelstraße 94, 38999 Hesmar; au 28 bis allée de l'Étang-Gris, Drossy; Calle del Molino Hondo, 193", [("ADDRESS", "Rehwinkelstraße 94, 38999 Hesmar"), ("ADDRESS", "28 bis allée de l'Étang-Gris, Drossy"), ("ADDRESS", "Calle del Molino Hondo, 193")]),

@@ -212,7 +212,7 @@ def find(seen: str, given: frozenset[str]) -> list[Piece]:
         for rx in (_CARD, _IP, _DATE) if digits > 12 else (_IP, _DATE):
             for m in rx.finditer(seen):
                 claim(None, *m.span())
-    if digits > 6:
+    if digits > 5:  # the least of any pattern here
         says = has(_ID_SIGNS) and _SAYS_ID.search(seen) is not None
         near = lambda a: says and _said_before(seen, a)
         for m in _NIR.finditer(seen):
