@@ -71,6 +71,8 @@ def kinds(text):
     ("live at 1476 Old Kiln Rd, Apt 26D, Quillmere, OH 44099 since spring", [("ADDRESS", "1476 Old Kiln Rd, Apt 26D, Quillmere, OH 44099")]),
     ("Rehwinkelstraße 94, 38999 Hesmar; au 28 bis allée de l'Étang-Gris, Drossy; Calle del Molino Hondo, 193", [("ADDRESS", "Rehwinkelstraße 94, 38999 Hesmar"), ("ADDRESS", "28 bis allée de l'Étang-Gris, Drossy"), ("ADDRESS", "Calle del Molino Hondo, 193")]),
     ("ул. Верхняя Заводь, д. 229, кв. 7, г. Тальмск, 999123", [("ADDRESS", "ул. Верхняя Заводь, д. 229, кв. 7, г. Тальмск, 999123")]),
+    ("живёт: ул. Верхняя Заводь, г. Тальмск", [("ADDRESS", "ул. Верхняя Заводь, г. Тальмск")]),
+    ("at 12 Calle Road Via Roma, 5", [("ADDRESS", "12 Calle Road"), ("ADDRESS", "Via Roma, 5")]),
     ("Mrs. Zareda and Herr Dr. Fennesco-Fennesco; Nurse Harriet Q. Quilholt", [("NAME", "Zareda"), ("NAME", "Fennesco-Fennesco"), ("NAME", "Harriet Q. Quilholt")]),
     ("Emergency contact: Drosingham, Wendell, 212-555-0166.", [("NAME", "Drosingham, Wendell"), ("PHONE", "212-555-0166")]),
     ("Jörg Mornesco liegt in Zimmer 7. Irmhild Brend liegt in Zimmer 5.", [("NAME", "Jörg Mornesco"), ("NAME", "Irmhild Brend")]),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import heapq
 import unicodedata as U
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -195,6 +196,11 @@ def find(seen: str, given: frozenset[str]) -> list[Piece]:
             out.append(Piece(kind, a, b, seen[a:b]))
         return True
 
+    def end_of_taken(a: int, b: int) -> int:
+        """Where the first claimed span ends that a refused one overlaps."""
+        i = bisect.bisect_left(taken, (a, b))
+        return taken[i - 1][1] if i > 0 and taken[i - 1][1] > a else taken[i][1]
+
     if "[" in seen:
         for m in _PLACEHOLDER.finditer(seen):
             claim(None, *m.span())
@@ -233,9 +239,19 @@ def find(seen: str, given: frozenset[str]) -> list[Piece]:
             for m in _NINE.finditer(seen):
                 if near(m.start()):
                     claim("IDENTITY", *m.span())
-    found = [(m.start(), i, m.end()) for i, rx in enumerate(_ADDRESSES) if not _ADDRESS_SIGNS[i] or has(_ADDRESS_SIGNS[i]) for m in rx.finditer(seen)] if digits else []
-    for a, _, b in sorted(found):
-        claim("ADDRESS", a, b)
+    # The next hit of each pattern, first in the text first; the last pattern needs no number.
+    hits: list[tuple[int, int, int]] = []
+
+    def search(i: int, at: int) -> None:
+        if m := _ADDRESSES[i].search(seen, at):
+            heapq.heappush(hits, (m.start(), i, m.end()))
+
+    for i, signs in enumerate(_ADDRESS_SIGNS):
+        if (digits or i == len(_ADDRESSES) - 1) and (not signs or has(signs)):
+            search(i, 0)
+    while hits:
+        a, i, b = heapq.heappop(hits)
+        search(i, b if claim("ADDRESS", a, b) else end_of_taken(a, b))
     if digits > 8:
         for m in _PHONES.finditer(seen):
             n = sum(c.isdigit() for c in regex.split(r"(?i)[ ,]*(?:ext|x|poste|доб)", m[0])[0])
