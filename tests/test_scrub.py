@@ -148,3 +148,8 @@ def test_sql_functions(spark):
 def test_very_long_texts(spark, unit):
     clean, _, log = run(spark, [unit * 20_000])[0]
     assert clean is not None and log.original_char_count == len(unit) * 20_000
+
+
+def test_mail_domains_of_any_number_of_labels(spark):
+    for n in (21, 22, 60, 20_000):
+        assert run(spark, [f"to a.b@{'x.' * n}zz now"])[0][0] == "to [REDACTED_EMAIL] now"

@@ -18,7 +18,7 @@ PAN = _B + r"(?:\p{Nd}[ -]*?){13,19}(?<=\p{Nd})" + _E
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 RULES = {
     "PHONE_NUMBER": r"(?:\+1[-. ]?)?(?:\(\d{3}\) ?|" + _B + r"\d{3}[-. ])\d{3}[-. ]\d{4}" + _E,
-    "EMAIL_ADDRESS": r"(?:\G|(?<![\p{L}\p{N}_.+-]))[\p{L}\p{N}_.+-]++@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+){1,20}",
+    "EMAIL_ADDRESS": r"(?:\G|(?<![\p{L}\p{N}_.+-]))[\p{L}\p{N}_.+-]++@[\p{L}\p{N}_-]++(?:\.[\p{L}\p{N}_-]++)++",
     "URL": r"https?://[^\s<>\"',;]*[^\s<>\"',;.!?)]|" + _B + r"(?:[\p{L}\p{N}-]{1,63}\.){1,10}(?:com|org|net|edu|gov|io)" + _E,
     "IP_ADDRESS": _B + rf"(?:{_OCTET}\.){{3}}{_OCTET}" + _E,
     "US_BANK_NUMBER": _B + r"\d{8,17}" + _E,
