@@ -2,9 +2,10 @@ import importlib
 import subprocess
 import sys
 
+import pytest
 from pyspark.sql import functions as F
 
-from veilspark.operators import attest
+from veilspark.operators import attest, evaluate
 from veilspark.sources import readers
 from veilspark.sources.sinks import export_chain, write_report, write_results
 from veilspark.streaming import streams
@@ -66,3 +67,15 @@ def test_entry(spark, small):
 def test_core_stands_without_the_text_subpackage():
     code = "import sys; sys.modules['veilspark.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'p3_found' in q and 'p6_ids' not in q; assert not any(m.startswith('veilspark.llm.') for m in sys.modules)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=importlib.import_module("os").path.dirname(importlib.import_module("__spark_entry__").__file__))
+
+
+def test_small_results_are_whole_or_an_error(spark, tmp_path):
+    rows = spark.range(1001).select(F.format_string("%05d", "id").alias("tool"), F.lit("|").alias("line"))
+    path = tmp_path / "r.json"
+    with pytest.raises(ValueError, match="more than 1000"):
+        write_results(rows, str(path))
+    with pytest.raises(ValueError, match="more than 1000"):
+        evaluate.report(rows)
+    assert not path.exists()
+    write_results(rows.limit(1000), str(path))
+    assert path.read_text().count("tool") == 1000 and evaluate.report(rows.limit(1000)).splitlines().count("|") == 1000

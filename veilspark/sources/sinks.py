@@ -7,7 +7,7 @@ import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -47,7 +47,19 @@ def write_report(text: str, path: str) -> None:
         f.write(text)
 
 
+#: Small tables come to the driver; more rows than this are an error.
+MOST_ROWS = 1000
+
+
+def at_most(rows: DataFrame, most: int = MOST_ROWS) -> list[Row]:
+    few = rows.limit(most + 1).collect()
+    if len(few) > most:
+        raise ValueError(f"more than {most} rows")
+    return few
+
+
 def write_results(rows: DataFrame, path: str) -> None:
-    """A small result table as one indented JSON file (1,000 rows at most)."""
+    """A small result table as one indented JSON file; more than MOST_ROWS rows are an error, before anything is written."""
+    few = at_most(rows)
     with open(path, "w", encoding="utf-8") as f:
-        json.dump([r.asDict(True) for r in rows.limit(1000).collect()], f, indent=2, default=str)
+        json.dump([r.asDict(True) for r in few], f, indent=2, default=str)
