@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import hashlib
 import hmac
-import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import FRAMEWORKS, GENESIS, ISSUER
 from ..functions.crypto import canonical_json, hmac_sha256
+from ..session import ship_package
 
 RECEIPT = "chain_id string, receipt_id string, transaction_id string, issued_at string, issuer string, compliance_frameworks array<string>, pii_classes_detected array<string>, pii_classes_redacted array<string>, payload_char_count_in int, payload_char_count_out int, chars_removed int, zero_pii_egress_confirmed boolean, downstream_target string, previous_receipt_hash string, receipt_hash string, chain_position int"
-SIGNED = [x.split()[0] for x in RECEIPT.split(", ") if x.split()[0] not in ("chain_id", "receipt_hash")]
+RECEIPT_FIELDS = [x.split()[0] for x in RECEIPT.split(", ")]
+SIGNED = [c for c in RECEIPT_FIELDS if c not in ("chain_id", "receipt_hash")]
 
 
 def genesis_hash(seed: str = GENESIS) -> str:
@@ -27,37 +29,84 @@ def zero_egress(detected: Column, redacted: Column) -> Column:
     return F.array_sort(F.array_distinct(detected)) == F.array_sort(F.array_distinct(redacted))
 
 
-def issue(events: DataFrame, key: bytes, order: list[str], issuer: str = ISSUER, seed: str = GENESIS) -> DataFrame:
+def _inside(json: Column) -> Column:
+    """What stands between the braces of an object."""
+    return F.substring(json, F.lit(2), F.length(json) - 2)
+
+
+def signed_parts(events: DataFrame, issuer: str = ISSUER) -> DataFrame:
+    """`events` with `parts`: the canonical JSON of each receipt but for the position and the hash before, which stand between the
+    parts. What has no serial order is made here, by built-in expressions. Null lists are empty, null counts 0."""
+    lists = [F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("detected", "redacted")]
+    n = [F.coalesce(F.col(c), F.lit(0)).cast("int") for c in ("char_in", "char_out")]
+    made = {
+        "transaction_id": F.col("transaction_id"), "issued_at": F.col("issued_at"), "issuer": F.lit(issuer), "compliance_frameworks": F.array(*map(F.lit, FRAMEWORKS)),
+        "pii_classes_detected": lists[0], "pii_classes_redacted": lists[1], "payload_char_count_in": n[0], "payload_char_count_out": n[1], "chars_removed": n[0] - n[1],
+        "zero_pii_egress_confirmed": zero_egress(*lists), "downstream_target": F.col("downstream_target"), "_id": F.concat(F.lit("rcpt_"), F.coalesce("transaction_id", F.lit("")), F.lit("_")),
+    }
+    some = lambda *names: _inside(canonical_json({k: made[k] for k in names}))
+    quoted = _inside(canonical_json({"receipt_id": made["_id"]}))  # without its last quote the id's number follows
+    parts = F.array(
+        F.concat(F.lit(","), some(*[c for c in made if "chain_position" < c < "previous_receipt_hash" and c != "_id"]), F.lit(',"previous_receipt_hash":"')),
+        F.concat(F.lit('",'), F.substring(quoted, F.lit(1), F.length(quoted) - 1)),
+        F.concat(F.lit('",'), some("transaction_id", "zero_pii_egress_confirmed"), F.lit("}")),
+    )
+    return events.withColumn("parts", parts).withColumns({k: v for k, v in made.items() if k != "_id"})
+
+
+def sign(key: bytes, position: int, before: str, parts: list[str]) -> str:
+    """The hash of the receipt at a position, which holds the hash of the one before."""
+    message = f'{{"chain_position":{position}{parts[0]}{before}{parts[1]}{position:06d}{parts[2]}'
+    return hmac.new(key, message.encode(), hashlib.sha256).hexdigest()
+
+
+def heads(receipts: DataFrame) -> DataFrame:
+    """chain_id, head_hash, length of chains: what issue() needs to append to them."""
+    return receipts.groupBy("chain_id").agg(F.max_by("receipt_hash", "chain_position").alias("head_hash"), (F.max("chain_position") + 1).alias("length"))
+
+
+def as_receipts(signed: DataFrame) -> DataFrame:
+    """RECEIPT of the rows of signed_parts that have position, before and hash as well."""
+    own = {"receipt_id": F.concat(F.lit("rcpt_"), F.coalesce("transaction_id", F.lit("")), F.format_string("_%06d", F.col("position"))), "previous_receipt_hash": F.col("before"), "receipt_hash": F.col("hash"), "chain_position": F.col("position")}
+    return signed.select(*[own.get(c, F.col(c)).alias(c) for c in RECEIPT_FIELDS])
+
+
+def issue(events: DataFrame, key: bytes, order: list[str], issuer: str = ISSUER, seed: str = GENESIS, after: DataFrame | None = None) -> DataFrame:
     """Signed receipts (RECEIPT) of events: chain_id, transaction_id, issued_at (text), detected, redacted (arrays), char_in, char_out, downstream_target.
 
     Each receipt signs the hash of the one before, so a chain is serial by definition; it streams through one task in
-    `order` with the last hash as the only state, and chains run side by side. Memory doesn't grow with a chain's length.
+    `order` with the last hash as the only state, and chains run side by side. Only the HMAC is made there: the signed text
+    comes from built-in expressions before. Memory doesn't grow with a chain's length. `after` (see heads) has the hash and
+    the length of chains that exist; their receipts follow on them, those of other chains begin at the genesis hash.
     """
-    cols = ["chain_id", "transaction_id", "issued_at", "detected", "redacted", "char_in", "char_out", "downstream_target", *[c for c in order if c not in ("chain_id",)]]
-    first, frameworks = genesis_hash(seed), list(FRAMEWORKS)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chain, prev, position = object(), first, 0
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                if r.chain_id != chain:
-                    chain, prev, position = r.chain_id, first, 0
-                found, done = list(r.detected), list(r.redacted)
-                content = {
-                    "receipt_id": f"rcpt_{r.transaction_id}_{position:06d}", "transaction_id": r.transaction_id, "issued_at": r.issued_at, "issuer": issuer,
-                    "compliance_frameworks": frameworks, "pii_classes_detected": found, "pii_classes_redacted": done,
-                    "payload_char_count_in": int(r.char_in), "payload_char_count_out": int(r.char_out), "chars_removed": int(r.char_in) - int(r.char_out),
-                    "zero_pii_egress_confirmed": set(found) == set(done), "downstream_target": None if pd.isna(r.downstream_target) else r.downstream_target,
-                    "previous_receipt_hash": prev, "chain_position": position,
-                }
-                prev = hmac.new(key, json.dumps(content, sort_keys=True, separators=(",", ":")).encode(), hashlib.sha256).hexdigest()
-                rows.append({"chain_id": chain, **content, "receipt_hash": prev})
-                position += 1
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in RECEIPT.split(", ")])
-
-    ready = events.select(*dict.fromkeys(cols)).withColumn("char_in", F.coalesce("char_in", F.lit(0))).withColumn("char_out", F.coalesce("char_out", F.lit(0)))
-    return ready.repartition("chain_id").sortWithinPartitions("chain_id", *order).mapInPandas(run, RECEIPT)
+    first = genesis_hash(seed)
+    ready = signed_parts(events, issuer)
+    if after is None:
+        ready = ready.withColumn("_head", F.lit(first)).withColumn("_length", F.lit(0))
+    else:
+        known = after.select(F.col("chain_id").alias("_chain"), F.col("head_hash").alias("_h"), F.col("length").cast("int").alias("_n"))
+        ready = ready.join(known, F.col("chain_id").eqNullSafe(F.col("_chain")), "left").drop("_chain")
+        ready = ready.withColumn("_head", F.coalesce("_h", F.lit(first))).withColumn("_length", F.coalesce("_n", F.lit(0))).drop("_h", "_n")
+    kept = [c for c in ready.columns if c in RECEIPT_FIELDS or c in order or c in ("chain_id", "parts", "_head", "_length")]
+    ready = ready.select(*kept).repartition("chain_id").sortWithinPartitions("chain_id", *order)
+    schema = T.StructType([*ready.schema.fields, T.StructField("position", T.IntegerType()), T.StructField("before", T.StringType()), T.StructField("hash", T.StringType())])
+    at = {c: i for i, c in enumerate(kept)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, prev, position = object(), "", 0
+        for b in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for own, parts, head, n in zip(*(b.column(at[c]).to_pylist() for c in ("chain_id", "parts", "_head", "_length"))):
+                if own != chain:
+                    chain, prev, position = own, head, n
+                digest = sign(key, position, prev, parts)
+                for column, value in zip(out, (position, prev, digest)):
+                    column.append(value)
+                prev, position = digest, position + 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out[0], pa.int32()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], [*kept, "position", "before", "hash"])
+
+    ship_package(events.sparkSession)
+    return as_receipts(ready.mapInArrow(run, schema))
 
 
 def signature(key: bytes) -> Column:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .bloom import mark_absent
+
 
 def _first(order: list[Column]) -> Column:
     """A struct whose least value is the first row; null comes last in each field."""
@@ -27,9 +30,14 @@ def keep_one(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
 def copies_to_drop(df: DataFrame, key: Column, order: list[Column], row_id: str) -> DataFrame:
     """The ids of the rows that keep_one would drop. `row_id` is unique and must be the last of `order`'s ties.
 
-    The winners come from the same aggregation over ids only; the rest follow from an anti-join on the unique id, which has no hot key.
-    Only keys that occur more than once take part in the second step.
+    1. Rows are counted by a 64-bit hash of the key, by hash aggregation over numbers alone.
+    2. A Bloom filter of the hashes that occur more than once takes all rows away that are surely the only one of their key.
+    3. Of those left, min_by over a struct finds the winner of each key (copies meet map-side, so a hot key is one partial row a
+       task), and an anti-join on the unique id, which has no hot key, gives the rest. A key alone that came through wins by itself.
     """
     ids = df.select(key.alias("_k"), _first([*order, F.col(row_id)]).alias("_by"), F.col(row_id)).where(F.col("_k").isNotNull())
-    winners = ids.groupBy("_k").agg(F.min_by(row_id, "_by").alias(row_id)).select(row_id)
-    return ids.select(row_id).join(winners, row_id, "left_anti")
+    counted = df.select(F.xxhash64(key).alias("_h"), key.isNotNull().alias("_is")).where("_is").groupBy("_h").agg(F.count("*").alias("_n"))
+    several = cut(counted.where(F.col("_n") > 1).select("_h"))  # for its number and for the filter
+    some = cut(mark_absent(ids.withColumn("_h", F.xxhash64("_k")), "_h", several, "_h", "_alone").where(~F.col("_alone")).select("_k", "_by", row_id))
+    winners = some.groupBy("_k").agg(F.min_by(row_id, "_by").alias(row_id)).select(row_id)
+    return some.select(row_id).join(winners, row_id, "left_anti")

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import DROPPED_HEADERS, TEXT_KEYS
-from ..functions.arrays import rows_of
+from ..functions.arrays import let
 from ..session import ship_package
 from .nested import whole_json
-from .scrub import scrub
+from .scrub import scrubbed
 
 
 def _walk(value, key, fn):
@@ -51,25 +51,27 @@ def _json_fill(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Arra
 
 
 def scrub_bodies(df: DataFrame, row_id: str, body: str) -> DataFrame:
-    """row_id, body (scrubbed), is_json, flags (map of counts), bytes_in, bytes_out.
+    """row_id, body (scrubbed), is_json, texts (the prompt texts, scrubbed), flags (map of counts), bytes_in, bytes_out.
 
     In JSON, strings whose own key is a prompt key are scrubbed at any depth and flags add up over them; all else passes,
-    and the body is written again with ASCII escapes. What is no JSON is scrubbed as text. Null stays null. row_id must be unique.
-    Only walking the tree is Python; detection is the same built-in pipeline as for plain texts.
+    and the body is written again with ASCII escapes. What is no JSON is scrubbed as text. Null stays null; repeated rows are
+    each scrubbed. Narrow steps only: the pipeline is an expression over the array of a body's texts. Only walking the tree is
+    Python, once to take the texts out and once to put them back.
     """
     ship_package(df.sparkSession)
-    base = df.select(F.col(row_id), F.col(f"`{body}`").cast("string").alias("_b")).withColumn("_texts", F.arrow_udf(_json_texts, "array<string>")("_b"))
-    plain = F.when(F.col("_texts").isNull(), F.array("_b")).otherwise(F.col("_texts"))
-    cut = rows_of(base, plain, row_id, item="_t", ordinal="_i").where(F.col("_t").isNotNull())
-    done = scrub(cut, row_id, "_t").select(row_id, "_i", "clean_text", F.transform_values("audit_log.flags_triggered", lambda k, v: v["count"]).alias("_f"))
-    flat = done.groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("_i", "clean_text"))).alias("_c"), F.flatten(F.collect_list(F.map_entries("_f"))).alias("_f"))
-    names = F.array_sort(F.array_distinct(F.transform("_f", lambda e: e["key"])))
-    total = F.map_from_entries(F.transform(names, lambda n: F.struct(n.alias("key"), F.aggregate(F.filter("_f", lambda e: e["key"] == n), F.lit(0), lambda a, e: a + e["value"]).alias("value"))))
-    joined = base.join(flat.select(row_id, F.transform("_c", lambda c: c["clean_text"]).alias("_clean"), total.alias("flags")), row_id, "left")
-    filled = F.arrow_udf(_json_fill, "string")("_b", F.when(F.col("_texts").isNotNull(), F.coalesce("_clean", F.array().cast("array<string>"))))
-    out = F.when(F.col("_texts").isNull(), F.get("_clean", F.lit(0))).otherwise(filled)
-    final = joined.withColumn("_out", out)
-    return final.select(row_id, F.col("_out").alias("body"), F.col("_texts").isNotNull().alias("is_json"), F.coalesce("flags", F.create_map().cast("map<string,int>")).alias("flags"), F.octet_length("_b").alias("bytes_in"), F.octet_length("_out").alias("bytes_out"))
+    # Named nondeterministic so that no use of their results evaluates them again.
+    take, fill = (F.arrow_udf(f, kind).asNondeterministic() for f, kind in ((_json_texts, "array<string>"), (_json_fill, "string")))
+    base = df.select(F.col(row_id), F.col(f"`{body}`").cast("string").alias("_b"))
+    base = base.select(row_id, "_b", take("_b").alias("_texts"))
+    plain = F.when(F.col("_texts").isNull(), F.when(F.col("_b").isNotNull(), F.array("_b"))).otherwise(F.col("_texts"))
+    done = base.select(row_id, "_b", F.col("_texts").isNotNull().alias("is_json"), F.transform(plain, scrubbed).alias("_d"))
+    entries = F.flatten(F.transform("_d", lambda d: F.transform(F.map_entries(d["flags"]), lambda e: F.struct(e["key"].alias("k"), e["value"]["count"].alias("n")))))
+    total = let(entries, lambda es: F.map_from_entries(F.transform(F.array_sort(F.array_distinct(F.transform(es, lambda e: e["k"]))), lambda k: F.struct(k.alias("key"), F.aggregate(F.filter(es, lambda e: e["k"] == k), F.lit(0), lambda a, e: a + e["n"]).alias("value")))))
+    texts = F.transform("_d", lambda d: d["clean_text"])
+    done = done.select(row_id, "_b", "is_json", texts.alias("texts"), F.coalesce(total, F.create_map().cast("map<string,int>")).alias("flags"))
+    done = done.select("*", fill("_b", F.when(F.col("is_json"), F.col("texts"))).alias("_f"))
+    out = done.withColumn("body", F.when(F.col("is_json"), F.col("_f")).otherwise(F.get("texts", F.lit(0))))
+    return out.select(row_id, "body", "is_json", "texts", "flags", F.octet_length("_b").alias("bytes_in"), F.octet_length("body").alias("bytes_out"))
 
 
 def is_json(body: Column) -> Column:
@@ -87,7 +89,8 @@ def forward_headers(headers: Column, length: Column) -> Column:
     return F.map_concat(kept, F.create_map(F.lit("content-length"), length.cast("string")))
 
 
-def resolve_target(target: Column, known: dict[str, str]) -> Column:
-    """A known name's address, else the text itself; empty is an error."""
+def resolve_target(target: Column, known: dict[str, str], strict: bool = True) -> Column:
+    """A known name's address, else the text itself; an empty one is an error, or null with strict=False."""
     table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv]) if known else F.create_map().cast("map<string,string>")
-    return F.when(F.coalesce(F.trim(target), F.lit("")) == "", F.raise_error(F.lit("no target"))).otherwise(F.coalesce(F.try_element_at(table, target), target))
+    none = F.raise_error(F.lit("no target")) if strict else F.lit(None).cast("string")
+    return F.when(F.coalesce(F.trim(target), F.lit("")) == "", none).otherwise(F.coalesce(F.try_element_at(table, target), target))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from ..session import checkpoint_dir
+from ..functions.running import running
+from ..session import cut
 from .bloom import mark_absent
 from .skew import salted_left_join
 
 
-def find_orphans(refs: DataFrame, targets: DataFrame, bloom_bits: int = 1 << 24) -> DataFrame:
+def find_orphans(refs: DataFrame, targets: DataFrame, bloom_bits: int | None = None) -> DataFrame:
     """References without a valid target at their own time.
 
     refs: ref_field str, row_id long, key str, at timestamp. targets: key str, valid_from timestamp (null: always), valid_to
@@ -22,15 +22,15 @@ def find_orphans(refs: DataFrame, targets: DataFrame, bloom_bits: int = 1 << 24)
     Null keys refer to nothing and are no rows of the result. A reference without a time can only be `missing`. Repeated
     references each count. Other columns are ignored.
 
-    1. A Bloom filter of all target keys, of fixed size, proves definite orphans without a shuffle.
+    1. A Bloom filter of all target keys, sized by their number, proves definite orphans without a shuffle (see bloom.mark_absent).
     2. Targets are pre-aggregated to one row a key; the filter's positives join it exactly, hot keys salted.
-    3. Where only targets that end could still cover the reference, running maxima of their ends decide, in blocks of a
-       key and a day with a prefix over the key's days: no pairs are formed and no key has to fit into one task.
+    3. Where only targets that end could still cover the reference, running maxima of their ends decide, in ranges of key and
+       time with a prefix over the ranges: no pairs are formed, and neither a key nor a key's day has to fit into one task.
     """
     always = F.to_timestamp(F.lit("0001-01-01 00:00:00"))
     refs = refs.where(F.col("key").isNotNull()).select("ref_field", "row_id", "key", "at")
     targets = targets.where(F.col("key").isNotNull()).select("key", F.coalesce("valid_from", always).alias("valid_from"), "valid_to")
-    tested = mark_absent(refs, "key", targets, "key", "_absent", bloom_bits)
+    tested = cut(mark_absent(refs, "key", targets, "key", "_absent", bloom_bits))  # read for the definite orphans, for hot keys and for the join
     missing = tested.where(F.col("_absent")).select("ref_field", "row_id", "key", "at", F.lit("missing").alias("reason"))
 
     per_key = targets.groupBy("key").agg(
@@ -49,23 +49,19 @@ def find_orphans(refs: DataFrame, targets: DataFrame, bloom_bits: int = 1 << 24)
         .otherwise("ends")
     )
     found = joined.withColumn("reason", state).where(F.col("reason") != "valid").select("ref_field", "row_id", "key", "at", "reason")
-    # Few rows are left here; written once, they cut the join off from the two ways on.
-    checkpoint_dir(refs.sparkSession)
-    judged = missing.unionByName(found).checkpoint()
+    judged = cut(missing.unionByName(found))  # few rows are left here, and two ways lead on
     clear = judged.where(F.col("reason") != "ends").select("ref_field", "row_id", "at", "reason")
     return clear.unionByName(_uncovered(judged.where(F.col("reason") == "ends"), targets.where(F.col("valid_to").isNotNull())))
 
 
 def _uncovered(refs: DataFrame, closed: DataFrame) -> DataFrame:
     """References at whose time none of the key's closed intervals holds; all begin no later than their key's first interval."""
+    wanted = closed.join(refs.select("key").distinct(), "key", "left_semi")
     events = refs.select("key", F.col("at").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("timestamp").alias("end"), "ref_field", "row_id").unionByName(
-        closed.select("key", F.col("valid_from").alias("t"), F.lit(0).alias("kind"), F.col("valid_to").alias("end")), allowMissingColumns=True
-    ).withColumn("day", F.to_date("t"))
-    days = events.groupBy("key", "day").agg(F.max("end").alias("end"))
-    before = days.select("key", "day", F.max("end").over(W.partitionBy("key").orderBy("day").rowsBetween(W.unboundedPreceding, -1)).alias("end_before"))
-    within = events.withColumn("end_within", F.max("end").over(W.partitionBy("key", "day").orderBy("t", "kind").rowsBetween(W.unboundedPreceding, 0))).where(F.col("kind") == 1)
-    covered = F.coalesce(F.greatest("end_within", "end_before") > F.col("t"), F.lit(False))
-    return within.join(before, ["key", "day"], "left").where(~covered).select("ref_field", "row_id", F.col("t").alias("at"), F.lit("deleted").alias("reason"))
+        wanted.select("key", F.col("valid_from").alias("t"), F.lit(0).alias("kind"), F.col("valid_to").alias("end")), allowMissingColumns=True)
+    reached = running(events, ["key"], ["t", "kind", "ref_field", "row_id"], "end", "_reach", how="max").where(F.col("kind") == 1)
+    covered = F.coalesce(F.col("_reach") > F.col("t"), F.lit(False))
+    return reached.where(~covered).select("ref_field", "row_id", F.col("t").alias("at"), F.lit("deleted").alias("reason"))
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CITATIONS
-from ..functions.arrays import rows_of
+from ..functions.arrays import let, rows_of
 from . import detect, spans
 
 ENTRY = "struct<count:int,cfr_citation:string>"
@@ -47,6 +47,15 @@ def scrub(df: DataFrame, transaction_id: str, text: str, more: Callable[[Column]
     return step.withColumn("_flags", flags).withColumn("audit_log", log).drop("_ssn", "_pan", "_t1", "_t2", "_found", "_flags")
 
 
+def scrubbed(text: Column) -> Column:
+    """clean_text and flags (name to count and citation) of one text, as a struct: the same pipeline as an expression, for texts
+    inside arrays. Null stays null."""
+    final = lambda ssn, x: let(spans.merge_spans(F.coalesce(detect.all_spans(x["t"]), F.array().cast(detect.SPANS))), lambda m: F.struct(
+        spans.redact(x["t"], m).alias("clean_text"), flag_map(ssn, F.greatest(F.coalesce(x["n"], F.lit(0)), F.lit(0)), m).alias("flags")))
+    cards = lambda t1: let(F.struct(detect.pan_count(t1).alias("n"), detect.pan_redact(t1).alias("t")), lambda x: final(F.coalesce(detect.count_matches(text, detect.SSN), F.lit(0)), x))
+    return let(detect.ssn_redact(text), cards)
+
+
 def flag_counts(m: Column) -> Column:
     """Flag to count only."""
     return F.transform_values(m, lambda k, v: v["count"])

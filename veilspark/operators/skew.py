@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: At most this many keys are found hot and broadcast, whatever the input's size.
-HOT_KEYS = 64
+#: At most this many keys are found hot and broadcast, whatever the input's size: more than can have a hundredth of the rows each.
+HOT_KEYS = 128
 #: The sketch of frequent keys tracks so many; a key with over a hundredth of the rows is never missed.
 TRACKED = 4096
 SALTS = 32

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -42,9 +44,9 @@ def _flags(last: Column, x: Column) -> Column:
 
 
 def sort_spans(spans: Column) -> Column:
-    """By start, then the longer first, then by the recogniser's order."""
-    order = lambda a: F.struct(a["s"].alias("a"), (a["s"] - a["e"]).alias("b"), a["o"].alias("c"))
-    return F.array_sort(spans, lambda a, b: F.when(order(a) < order(b), -1).when(order(a) > order(b), 1).otherwise(0))
+    """By start, then the longer first, then by the recogniser's order: the natural order of structs with these fields first."""
+    keyed = F.transform(spans, lambda a: F.struct(a["s"].alias("a"), (a["s"] - a["e"]).alias("b"), a["o"].alias("c"), a.alias("x")))
+    return F.transform(F.sort_array(keyed), lambda k: k["x"])
 
 
 def merge_spans(spans: Column) -> Column:
@@ -68,10 +70,24 @@ def merge_spans(spans: Column) -> Column:
 
 
 def redact(text: Column, merged: Column) -> Column:
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda a, x: F.struct(x["e"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, x["s"] - a["at"]), F.lit("[REDACTED_"), x["p"], F.lit("]")).alias("out"))
-    whole = F.aggregate(merged, zero, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(merged) > 0, whole).otherwise(text)
+    """The text with [REDACTED_<placeholder>] in place of each span; spans are in order and don't overlap. The gaps between them
+    are cut in one look each, chunk by chunk, and joined once."""
+    mark = lambda x: F.concat(F.lit("[REDACTED_"), x["p"], F.lit("]"))
+    return F.when(F.size(merged) > 0, replaced(text, merged, "s", "e", mark)).otherwise(text)
+
+
+def replaced(text: Column, pieces: Column, start: str, end: str, mark: Callable[[Column], Column]) -> Column:
+    """The text with `mark` of each piece in its place. So that no look at a place begins at the text's start again, the text is first cut
+    at every CHUNKth piece, from the rest each time, and within such a part by the piece."""
+
+    def part(state: Column, chunk: Column) -> Column:
+        to = F.element_at(chunk, -1)[end]
+        here = F.substring(state["rest"], F.lit(1), to - state["at"])
+        inner = lambda h: F.array_join(F.flatten(F.transform(F.zip_with(F.concat(F.array(state["at"]), F.transform(F.slice(chunk, F.lit(1), F.size(chunk) - 1), lambda x: x[end])), chunk, lambda a, x: F.struct(a.alias("a"), x.alias("x"))), lambda y: F.array(F.substring(h, y["a"] - state["at"] + 1, y["x"][start] - y["a"]), mark(y["x"])))), "")
+        return F.struct(to.alias("at"), F.substring(state["rest"], to - state["at"] + 1, F.length(state["rest"])).alias("rest"), F.concat(state["out"], F.array(let(here, inner))).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), text.alias("rest"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(chunks(pieces), zero, part, lambda a: F.concat(F.array_join(a["out"], ""), a["rest"]))
 
 
 def span_islands(exploded: DataFrame, doc: str) -> DataFrame:

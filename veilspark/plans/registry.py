@@ -8,11 +8,11 @@ MODULES = ("data_queries", "scrub_queries", "ledger_queries", "report_queries")
 
 
 def collect(kind: str) -> dict:
+    """QUERIES or ORACLE of all modules; a name given twice is an error."""
     out: dict = {}
     for m in MODULES:
-        try:
-            out |= getattr(import_module(f"veilspark.plans.{m}"), kind)
-        except ModuleNotFoundError as e:
-            if e.name != f"veilspark.plans.{m}":
-                raise
+        own = getattr(import_module(f"veilspark.plans.{m}"), kind)
+        if twice := out.keys() & own.keys():
+            raise ValueError(f"registered twice: {sorted(twice)}")
+        out |= own
     return out

@@ -17,14 +17,16 @@ def post(url: str, body: bytes, headers: dict[str, str], timeout: float) -> int:
         return answer.status
 
 
-def dispatch(events: DataFrame, url: str | None, token: str | None = None, timeout: float = 3.0, send: Callable[[str, bytes, dict, float], int] = post) -> DataFrame:
+def dispatch(events: DataFrame, url: str | None, token: str | None = None, timeout: float = 3.0, send: Callable[[str, bytes, dict, float], int] = post, header: str = "Authorization", prefix: str | None = None) -> DataFrame:
     """receipt_id, sent: each event posted as JSON from the task that holds it. Never fails a job: no address, an error or a status other than 2xx is false.
 
-    An event may be posted again if its task is retried; receivers tell copies by receipt_id.
+    A token goes into the header named; `prefix` stands before it, `Bearer ` in Authorization and nothing in others where it is
+    None. An event may be posted again if its task is retried; receivers tell copies by receipt_id.
     """
+    lead = prefix if prefix is not None else "Bearer " if header.lower() == "authorization" else ""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {token}"} if token else {})
+        headers = {"Content-Type": "application/json"} | ({header: lead + token} if token else {})
         for b in batches:
             sent = []
             for body in b["body"]:

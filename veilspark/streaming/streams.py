@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import hashlib
-import hmac
-import json
+import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..constants import FRAMEWORKS, GENESIS, ISSUER
-from ..operators.attest import RECEIPT, genesis_hash
+from ..constants import GENESIS, ISSUER
+from ..operators.attest import RECEIPT_FIELDS, as_receipts, genesis_hash, sign, signed_parts
 from ..operators.scrub import explode_flags, scrub
+from ..session import ship_package
 from ..sources.sinks import dispatch
 
 
@@ -31,33 +31,40 @@ def flag_windows(df: DataFrame, time: str, transaction_id: str, text: str, width
 
 
 def receipt_stream(events: DataFrame, key: bytes, issuer: str = ISSUER, seed: str = GENESIS) -> DataFrame:
-    """Signed receipts of a stream of events (as attest.issue takes them, with `seq` for the order in a batch). The state of a chain is its last hash and length."""
-    first, frameworks = genesis_hash(seed), list(FRAMEWORKS)
-    names = [x.split()[0] for x in RECEIPT.split(", ")]
+    """Signed receipts of a stream of events (as attest.issue takes them, with `seq` for the order in a batch), by the same
+    signature. The state of a chain is its last hash and length. As a micro-batch of a chain must be put in order, it is held
+    in memory: bound it by the source's own limit per trigger."""
+    first = genesis_hash(seed)
+    ready = signed_parts(events, issuer)
+    ready = ready.select("seq", "parts", *[c for c in ready.columns if c in RECEIPT_FIELDS])
+    schema = T.StructType([*ready.schema.fields, T.StructField("position", T.IntegerType()), T.StructField("before", T.StringType()), T.StructField("hash", T.StringType())])
+    ship_package(events.sparkSession)
 
     def run(chain: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         prev, position = state.get if state.exists else (first, 0)
-        for r in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
-            found, done = list(r.detected), list(r.redacted)
-            content = {
-                "receipt_id": f"rcpt_{r.transaction_id}_{position:06d}", "transaction_id": r.transaction_id, "issued_at": r.issued_at, "issuer": issuer,
-                "compliance_frameworks": frameworks, "pii_classes_detected": found, "pii_classes_redacted": done,
-                "payload_char_count_in": int(r.char_in), "payload_char_count_out": int(r.char_out), "chars_removed": int(r.char_in) - int(r.char_out),
-                "zero_pii_egress_confirmed": set(found) == set(done), "downstream_target": None if pd.isna(r.downstream_target) else r.downstream_target,
-                "previous_receipt_hash": prev, "chain_position": int(position),
-            }
-            prev = hmac.new(key, json.dumps(content, sort_keys=True, separators=(",", ":")).encode(), hashlib.sha256).hexdigest()
+        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
+        places, before, hashes = [], [], []
+        for parts in rows["parts"]:
+            places.append(int(position))
+            before.append(prev)
+            prev = sign(key, position, prev, list(parts))
+            hashes.append(prev)
             position += 1
-            yield pd.DataFrame([{"chain_id": chain[0], **content, "receipt_hash": prev}], columns=names)
         state.update((prev, int(position)))
+        yield rows.assign(position=places, before=before, hash=hashes)
 
-    return events.groupBy("chain_id").applyInPandasWithState(run, RECEIPT, "prev string, position int", "append", GroupStateTimeout.NoTimeout)
+    return as_receipts(ready.groupBy("chain_id").applyInPandasWithState(run, schema, "prev string, position int", "append", GroupStateTimeout.NoTimeout))
 
 
-def webhook_writer(url: str | None, **options) -> Callable[[DataFrame, int], None]:
-    """For writeStream.foreachBatch: posts a batch's events; failures are counted, not raised."""
+def webhook_writer(url: str | None, report: Callable[[int, dict[bool, int]], None] | None = None, **options) -> Callable[[DataFrame, int], None]:
+    """For writeStream.foreachBatch: posts a batch's events. Failures are counted, not raised: `report` gets the batch's number
+    and how many events were sent (True) and weren't (False); without it the counts go to the log, as a warning where some weren't."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        dispatch(batch, url, **options).groupBy("sent").count().collect()
+    def write(batch: DataFrame, number: int) -> None:
+        counts = {r["sent"]: r["count"] for r in dispatch(batch, url, **options).groupBy("sent").count().collect()}
+        if report is not None:
+            report(number, counts)
+        else:
+            logging.getLogger(__name__).log(logging.WARNING if counts.get(False) else logging.INFO, "batch %d: %d events sent, %d not", number, counts.get(True, 0), counts.get(False, 0))
 
     return write
