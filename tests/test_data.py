@@ -112,16 +112,61 @@ def test_bodies_of_all_shapes(spark):
     texts = [
         json.dumps({"responses": [response({"A": {"count": 2, "cfr_citation": "c"}, "Z": None}), deep]}), json.dumps([as_text]), json.dumps({"data": {"responses": [response(classes=["F", "F", None])]}, "meta": 1}),
         json.dumps(response({"G": 1}, {"clean_text": "no list", "audit_log": {"flags_triggered": ["H"]}})), "{}", "null", "[]", "5", "", None, "  ", '[{"a":1}] x', '{"a":1}{"b":2}', '{"responses": [', "HTTP 502 []", '{"responses": null}', '[1, "s", null, []]']
-    got = {(r.record_id, r.item_path, r.child_list, r.child_key) for r in nested.children(nested.responses_of_bodies(bodies(spark, texts))).collect()}
+    def found(df):
+        shape, depth = nested.response_schema(df)
+        rows = nested.responses_of_bodies(df, depth)
+        return rows, shape, {(r.record_id, r.item_path, r.child_list, r.child_key) for r in nested.children(rows, shape).collect()}
+
+    rows, shape, got = found(bodies(spark, texts))
     assert got == {
         (0, "0", "flags_triggered", "A"), (0, "0", "flags_triggered", "Z"), (0, "1", "flags_triggered", "A"), (0, "1/0", "flags_triggered", "B"), (0, "1/0/0", "flags_triggered", "C"), (0, "1/0/0", "flags_triggered", "D"),
         (1, "0", "flags_redacted", "E"), (1, "0", "entities", "0"), (1, "0", "entities", "1"), (2, "0", "pii_classes_detected", "F"), (3, "0", "flags_triggered", "G"), (3, "0/0", "flags_triggered", "H")}
-    rows = nested.responses_of_bodies(bodies(spark, texts))
-    tables = nested.flat_tables(rows)
+    tables = nested.flat_tables(rows, shape)
     assert tables["responses"].where("record_id = 0").select("parent_path").orderBy("item_path").collect() == [(None,), (None,), ("1",), ("1/0",)]
-    f = tables["flags"].where("record_id = 0 and item_path = '0'").orderBy("ordinal").collect()
-    assert [(x.flag, x["count"], x.cfr_citation) for x in f] == [("A", 2, "c"), ("Z", None, None)]
-    assert nested.children(nested.responses_of_bodies(bodies(spark, texts).limit(0))).count() == 0
+    f = tables["audit_log_flags_triggered"].where("record_id = 0 and item_path = '0'").orderBy("ordinal").collect()
+    assert [(x.map_key, x["count"], x.cfr_citation, x.parent_key) for x in f] == [("A", 2, "c", "response_batches/0/0"), ("Z", None, None, "response_batches/0/0")]
+    assert found(bodies(spark, texts).limit(0))[2] == set()
+
+
+def test_fields_nobody_named_are_kept(spark):
+    texts = [
+        json.dumps({"x": 1, "audit_log": {"entities": [{"start": 1, "tags": [{"t": "a"}, {"t": "b", "why": ["p", None]}]}], "note": "n"}, "quoted'name": True}),
+        json.dumps({"x": 1.5, "audit_log": json.dumps({"entities": [{"start": "s"}]}), "seen": [[1, 2], [3]]}),
+        '{"x": "one", "x": "two"}']
+    df = bodies(spark, texts)
+    shape, depth = nested.response_schema(df)
+    t = nested.flat_tables(nested.responses_of_bodies(df, depth), shape)
+    assert set(t) == {"responses", "audit_log_entities", "audit_log_entities.tags", "audit_log_entities.tags.why", "seen", "seen.items"}
+    r = {x.record_id: x for x in t["responses"].collect()}
+    assert [r[i].x for i in range(3)] == ["1", "1.5", "two"] and r[0].audit_log_note == "n" and r[0]["quoted'name"] is True and r[1].audit_log.startswith("{")
+    tags = {x.row_key: x for x in t["audit_log_entities.tags"].collect()}
+    assert tags["response_batches/0/0/audit_log_entities/0/tags/1"].parent_key == "response_batches/0/0/audit_log_entities/0" and sorted(x.t for x in tags.values()) == ["a", "b"]
+    assert [(x.parent_key, x.ordinal, x.value) for x in t["audit_log_entities.tags.why"].orderBy("ordinal").collect()] == [("response_batches/0/0/audit_log_entities/0/tags/1", i, v) for i, v in ((0, "p"), (1, None))]
+    assert [(x.parent_key, x.value) for x in t["seen.items"].orderBy("row_key").collect()] == [("response_batches/1/0/seen/0", 1), ("response_batches/1/0/seen/0", 2), ("response_batches/1/0/seen/1", 3)]
+
+
+def test_depth_follows_from_the_data_alone(spark):
+    def deep(n):
+        body = '{"audit_log": {"flags_triggered": {"X": 1}}}'
+        for _ in range(n):
+            body = '{"parts": [' + body + "]}"
+        return body
+
+    hostile = json.dumps({"clean_text": '"parts"' * 10_000, "audit_log": {"flags_triggered": ["Y"]}})
+    df = bodies(spark, [deep(0), deep(3), hostile])
+    shape, depth = nested.response_schema(df)
+    assert depth == 3
+    df = bodies(spark, [deep(1), deep(40), hostile])  # deeper than one plan explodes
+    shape, depth = nested.response_schema(df)
+    got = {(r.record_id, r.item_path) for r in nested.children(nested.responses_of_bodies(df, depth), shape).collect()}
+    assert depth == 40 and got == {(0, "0/0"), (1, "/".join(["0"] * 41)), (2, "0")}
+
+
+def test_objects_with_data_as_keys_become_entries(spark):
+    df = bodies(spark, [json.dumps({"by_user": {f"u{i}_{j}": {"n": j} for j in range(30)}}) for i in range(10)])
+    shape, depth = nested.response_schema(df)
+    t = nested.flat_tables(nested.responses_of_bodies(df, depth), shape)
+    assert set(t) == {"responses", "by_user"} and t["by_user"].count() == 300 and t["by_user"].agg(F.sum("n")).first()[0] == 10 * 435
 
 
 def test_whole_json(spark):
