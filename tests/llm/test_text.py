@@ -119,15 +119,6 @@ def test_surrogates(spark):
     assert other[0] != got[0]
 
 
-def test_surrogate_collisions_are_resolved(spark, monkeypatch):
-    plain = surrogate.core
-    units = [f"NAME:s:n{i}" for i in range(40)]
-    key = b"k"
-    monkeypatch.setattr(surrogate, "core", lambda u, k, a: "same" if a == 0 else plain(u, k, a))
-    # The workers import the module anew, so the check runs on the function itself.
-    assert len({surrogate.core(u, key, 0) for u in units}) == 1 and len({surrogate.core(u, key, 1) for u in units}) == 40
-
-
 def surrogate_texts(spark, texts, key=b"key"):
     names = spark.createDataFrame([(n,) for n in GIVEN], "given_name string")
     got = {r.id: r.surrogate_text for r in surrogate.with_surrogates(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t", names, key).collect()}

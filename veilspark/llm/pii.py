@@ -13,9 +13,11 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.spans import replaced
 from ..session import ship_package, spread
 from .langid import one_script
 from .lookalike import HIDDEN_OTHER, SHOWN_FORMAT
+from .names import LEAST, Tagger, base, loud
 
 TYPES = ("EMAIL", "PHONE", "IDENTITY", "ADDRESS", "NAME")
 
@@ -77,16 +79,16 @@ _CARD = regex.compile(r"(?<![\d-])(?:[3-6]\d{3}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?:
 
 _AT = r"(?:\s?@\s?|\s?[\[({]\s?(?:at|@|arroba)\s?[\])}]\s?|&#0*64;|&commat;|%40)"
 _DOT = r"(?:\.|\s?[\[({]\s?(?:dot|\.|punkt|punto|point)\s?[\])}]\s?|\s+(?:dot|punkt|punto|point)\s+)"
-_LABEL = r"[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,61}[\p{L}\p{N}])?"
-_LOCAL = r"[\p{L}\p{N}](?:[\p{L}\p{N}._%+'’-]{0,62}?[\p{L}\p{N}])?"
-_EMAIL = regex.compile(rf"(?<![\p{{L}}\p{{N}}._%+-]){_LOCAL}(?:{_AT}{_LABEL}(?:{_DOT}{_LABEL}){{0,9}}{_DOT}\p{{L}}{{2,}}|\s+at\s+{_LABEL}(?:(?:\.|\s+dot\s+){_LABEL}){{0,9}}\s+dot\s+\p{{L}}{{2,}}|\s+at\s+{_LABEL}(?:\.{_LABEL}){{0,9}}\.(?:example|test|invalid|com|org|net|edu|gov))(?![\p{{L}}\p{{N}}])", regex.I)
+_LABEL = r"[\p{L}\p{N}]++(?:-++[\p{L}\p{N}]++)*+"
+_LOCAL = r"[\p{L}\p{N}]++(?:(?!%40)[._%+'’-](?:(?!%40)[._%+'’-])*+[\p{L}\p{N}]++)*+"
+_EMAIL = regex.compile(rf"(?<![\p{{L}}\p{{N}}._%+-]){_LOCAL}(?:{_AT}{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}\p{{L}}{{2,}}|\s+at\s+{_LABEL}(?:(?:\.|\s+dot\s+){_LABEL})*\s+dot\s+\p{{L}}{{2,}}|\s+at\s+{_LABEL}(?:\.{_LABEL})*\.(?:example|test|invalid|com|org|net|edu|gov))(?![\p{{L}}\p{{N}}])", regex.I)
 #: Ends of file names that look like domains (fixed values).
 _FILE_ENDS = frozenset("png jpg jpeg gif bmp webp svg pdf txt csv tsv json xml html htm zip gz tar doc docx xls xlsx ppt pptx md py js css log mp3 mp4 wav tif tiff heic dcm".split())
 
 _US = r"(?!000|666|9)\d{3}"
 _SSN = regex.compile(rf"(?<![\d.-]|\d )({_US})([-. ])(?!00)(\d{{2}})\2(?!0000)(\d{{4}})(?![-.]?\d)(?! \d)")
 _SAYS_ID = regex.compile(r"(?:\bSSNs?\b|\bSS ?#|\bSS no|\bsocial\b|securit|s[ée]cu\b|s[ée]curit|seguridad|seguran|sicurezza|sozialvers|versicherungs|rentenvers|\bDNI\b|\bNIE\b|\bNIF\b|\bNIR\b|identidad|identit|identific|national id|\bID no|\bпаспорт|СНИЛС|\bИНН\b|codice fiscale|personnummer|ssn>)", regex.I)
-_OTHER_NUMBER = regex.compile(r"[.!?;]\s+\p{Lu}|\n|\b(?i:lot|lote|batch|charge|part|tracking|invoice|order|ticket|case|request|ref|dossier|expediente|vorgang|akte|reading|setting|phone|fax)\b\.?(?i: number| no\.?| nr\.?)?\s*[:#]?\s*$")
+_OTHER_NUMBER = regex.compile(r"\b(?i:lot|lote|batch|charge|part|tracking|invoice|order|ticket|case|request|ref|dossier|expediente|vorgang|akte|reading|setting|phone|fax)\b\.?(?i: number| no\.?| nr\.?)?\s*[:#]?\s*$")
 _NINE = regex.compile(rf"(?<![\p{{L}}\d#.-]){_US}(?!00)\d{{2}}(?!0000)\d{{4}}(?![\p{{L}}\d]|[.-]\d)")
 _NIR = regex.compile(r"(?<![\p{L}\d.-])([12])([ .]?)(\d{2})\2(\d{2})\2(\d{2}|2[AB])\2(\d{3})\2(\d{3})(?:[ .]?(\d{2}))?(?![\p{L}\d])", regex.I)
 _RVNR = regex.compile(r"(?<![\p{L}\d])(\d{2})[ -]?(\d{2})(\d{2})(\d{2})[ -]?(\p{Lu})[ -]?(\d{3})(?![\p{L}\d])", regex.I)
@@ -115,19 +117,19 @@ _BARE = regex.compile(rf"{_NOT_IN}1?[2-9]\d{{2}}[2-9]\d{{6}}{_EXT}(?![\p{{L}}\d]
 _SAYS_NUMBER = regex.compile(r"(?:\bref\.?|ticket|case|request|dossier|expediente|vorgang|акте|akte|карта|обращение|заявке|petici[oó]n|r[üu]ckfrage|claim|lot|lote|batch|charge|part|tracking|invoice|order|account|card|serial|number|no\.?|nr\.?|n°|№|#|reading|setting|firmware|version|id|mrn)\s*[:#]?\s*$", regex.I)
 _SAYS_PHONE = regex.compile(r"phone|tel|fax|call|mobil|m[óo]vil|text me|reach|contact|kontakt|контакт|номер|cell|whatsapp|sms|ruf|appel", regex.I)
 
-_CAP = r"(?:(?:[DdLO]['’]|Mc|Mac|de |del |von |van |da |dos |di )?\p{Lu}[\p{L}\p{M}'’]{0,30}\p{L}(?:[-‐]\p{Lu}[\p{L}\p{M}'’]{1,30}){0,3})"
-_WORD = r"\p{Lu}[\p{L}\p{M}'’.-]{0,40}"
+_CAP = r"(?:(?:[DdLO]['’]|Mc|Mac|de |del |von |van |da |dos |di )?\p{Lu}[\p{L}\p{M}'’]*\p{L}(?:[-‐]\p{Lu}[\p{L}\p{M}'’]++)*+)"
+_WORD = r"\p{Lu}[\p{L}\p{M}'’.-]*+"
 _STATE = r"(?:[A-Z]{2} )?\d{5}(?:-\d{4})?"
 _TYPES = "Street St Road Rd Avenue Ave Boulevard Blvd Drive Dr Lane Ln Court Ct Way Terrace Ter Place Pl Square Sq Circle Cir Parkway Pkwy Highway Hwy Trail Crescent Close Row Alley Loop".split()
 _STREET_TYPE = "(?:" + "|".join([*_TYPES, *map(str.upper, _TYPES)]) + ")"
-_TOWN = r"(?!(?:SSN?|DNI|N°)\b)\p{Lu}[\p{L}'’-]{1,40}"
+_TOWN = r"(?!(?:SSN?|DNI|N°)\b)\p{Lu}[\p{L}'’-]++"
 _PLACE = rf"(?:(?:(?:San|Santa|Saint|Sankt|St\.|Bad|New|Los|Las|La|El|Le|Port|Fort|Mount|Nizhny|Нижний|Великий) )?{_TOWN}(?:(?: {_TOWN}){{1,2}}(?=, [A-Z]{{2}} \d))?)"
 _NO_STREET = r"(?!(?:Akte|Vorgang|Ticket|Fall|Zimmer|Station|Bett|Tag|Uhr|Seite|Raum|Ebene|Platz|Montag|Dienstag|Mittwoch|Donnerstag|Freitag|Samstag|Sonntag|Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember)\b)"
 _ADDRESSES = tuple(map(regex.compile, (
     # number, street, unit, town
-    rf"(?<![\p{{L}}\d#/.-]|\d )\d{{1,6}}[a-z]?,? (?:[NSEW]\.? )?(?:(?:\p{{Lu}}[\p{{L}}'’-]{{0,40}}|\d{{1,3}}(?i:st|nd|rd|th)) ){{1,4}}?{_STREET_TYPE}\b\.?(?:,? ?(?i:Apt|Apartment|Suite|Ste|Unit|Room|Rm|Fl)\.? ?#?[\p{{L}}\d-]{{1,12}}|,? ?#\d+[A-Z]?)?(?:, {_PLACE}(?:, {_STATE})?)?",
+    rf"(?<![\p{{L}}\d#/.-]|\d )\d{{1,6}}[a-z]?,? (?:[NSEW]\.? )?(?:(?:\p{{Lu}}[\p{{L}}'’-]*+|\d{{1,3}}(?i:st|nd|rd|th)) ){{1,4}}?{_STREET_TYPE}\b\.?(?:,? ?(?i:Apt|Apartment|Suite|Ste|Unit|Room|Rm|Fl)\.? ?#?[\p{{L}}\d-]++|,? ?#\d+[A-Z]?)?(?:, {_PLACE}(?:, {_STATE})?)?",
     # a compound street name or one with a preposition, house number, town
-    rf"(?<![\p{{L}}\d-])(?:(?:\p{{Lu}}[\p{{L}}-]{{0,40}}[- ])?\p{{Lu}}[\p{{L}}-]{{0,40}}(?i:stra(?:ß|ss)e|str\.|weg|allee|platz|gasse|ring|ufer|damm|chaussee|steig|pfad)|(?i:An der|An den|Am|Zum|Zur|Unter den|Unter der|Auf dem|Auf der|Hinter der|Hinter dem|Vor dem|Vor der|Im|In der|Bei der|Beim) (?:\p{{Ll}}{{1,30}}e[nrm] |\p{{Lu}}{{1,30}}E[NRM] )?{_NO_STREET}\p{{Lu}}[\p{{L}}-]{{1,40}})(?:,? (?i:Nr)\.)? ?\d{{1,4}}(?!\d)(?: ?[a-zA-Z]\b)?(?:, (?:\d{{5}} )?{_PLACE})?",
+    rf"(?<![\p{{L}}\d-])(?:(?:\p{{Lu}}[\p{{L}}-]*+ )?(?=\p{{Lu}})(?:\p{{L}}++-)*\p{{L}}*?(?i:stra(?:ß|ss)e|str\.|weg|allee|platz|gasse|ring|ufer|damm|chaussee|steig|pfad)|(?i:An der|An den|Am|Zum|Zur|Unter den|Unter der|Auf dem|Auf der|Hinter der|Hinter dem|Vor dem|Vor der|Im|In der|Bei der|Beim) (?:\p{{Ll}}+e[nrm] |\p{{Lu}}+E[NRM] )?{_NO_STREET}\p{{Lu}}[\p{{L}}-]++)(?:,? (?i:Nr)\.)? ?\d{{1,4}}(?!\d)(?: ?[a-zA-Z]\b)?(?:, (?:\d{{5}} )?{_PLACE})?",
     # number, kind of street, name, town
     rf"(?<![\p{{L}}\d#/.-])\d{{1,4}}(?: ?(?i:bis|ter|quater))?,? (?i:rue|avenue|av\.|bd|boulevard|all[ée]e|chemin|place|impasse|quai|cours|route|square|passage|villa|sentier) (?:(?i:de la|de l['’]|des|du|de|d['’]|la|le|les) ?)?{_WORD}(?:[ -](?:(?i:de|du|la|le|des) )?{_WORD}){{0,2}}?(?:, (?:\d{{5}} )?{_PLACE})?",
     # kind of street, name, number, town
@@ -155,8 +157,6 @@ _NAME_ENDS = regex.compile(r"[ \t]*(?:[<(,;\n]|$)")
 _INVERTED = regex.compile(rf"(?<![\p{{L}}\p{{N}}'’-])(?P<last>{_CAP}), (?P<first>{_CAP})(?: {_INITIAL})?")
 _PAIR = regex.compile(rf"(?<![\p{{L}}\p{{N}}'’-])(?P<first>{_CAP})(?: {_INITIAL}){{0,2}} (?P<last>{_CAP})")
 _DOTTED = regex.compile(rf"(?<![\p{{L}}\p{{N}}'’.-])(?:{_INITIAL} ?){{1,3}}(?P<last>{_CAP})")
-#: What is said of people (fixed values): after a name that no title and no known given name marks.
-_SAID = regex.compile(r",? (?:\([^)]{1,20}\) )?(?i:was seen|is in bed|was admitted|was discharged|refused|signed|agreed|asked|wants|called|liegt in|lag in|wurde verlegt|hat unter|bittet um|occupe le lit|est sorti|souhaite|valide|a sign|est[áa] en la cama|firm[óo]|pide que|autoriza|лежит|просит|подтверд|подписал|è nel letto|está na cama)")
 #: Words in capitals at the start of a sentence that are no given names, and second words that make a place or thing (fixed values).
 _NO_FIRST = frozenset("the a an st saint please ticket dossier vorgang expediente chart note re reading claim part lot pump invoice files take use may will job firmware height vitals dose tracking workstation summarise results home phone address card old new upper lower lake mount north south east west harbor le la les el los las der die das und et y".split())
 _NO_LAST = frozenset("wing clinic hospital ward hall street road lane avenue drive court way house room unit center centre street sign score test stain index scale disease syndrome bank park bridge station tower foundation university college school institute street klinik krankenhaus bengal".split())
@@ -174,28 +174,58 @@ _SPELLED = ("dot", ".example", ".test", ".invalid", ".com", ".org", ".net", ".ed
 _ID_SIGNS = ("ssn", "ss#", "ss #", "ss no", "social", "securit", "sécu", "secu", "seguridad", "seguran", "sicurezza", "sozialvers", "versicherungs", "rentenvers", "dni", "nie", "nif", "nir", "identi", "id no", "national id", "паспорт", "снилс", "инн", "codice", "personnummer")
 
 
-def _said_before(seen: str, a: int) -> bool:
-    """Whether the words before a place say that an identity number follows: in the same sentence, and no other number is named since."""
-    last = None
-    for m in _SAYS_ID.finditer(seen, max(0, a - 45), a):
-        last = m
-    return last is not None and not _OTHER_NUMBER.search(seen, last.end(), a)
+_SENTENCE_ENDS = regex.compile(r"[.!?;]\s+(?=\p{Lu})|\n")
 
 
-def find(seen: str, given: frozenset[str]) -> list[Piece]:
-    """The pieces of a visible text, in order, none overlapping. given: given names in lower case."""
+def _lead(seen: str, a: int) -> str:
+    """The last three words before a place, with what stands between, however long they are."""
+    i = a
+    for _ in range(3):
+        while i > 0 and not seen[i - 1].isalnum():
+            i -= 1
+        while i > 0 and seen[i - 1].isalnum():
+            i -= 1
+    return seen[i:a]
+
+
+class Said:
+    """Where a text says that an identity number follows, and where its sentences end; each found once."""
+
+    def __init__(self, seen: str):
+        self.seen = seen
+        self.says = [m.end() for m in _SAYS_ID.finditer(seen)]
+        self.ends = [m.start() for m in _SENTENCE_ENDS.finditer(seen)] if self.says else []
+
+    def before(self, a: int) -> bool:
+        """Whether the same sentence says so before a place, and no other number is named right before it."""
+        i = bisect.bisect_right(self.says, a) - 1
+        if i < 0:
+            return False
+        j = bisect.bisect_left(self.ends, self.says[i])
+        if j < len(self.ends) and self.ends[j] < a:
+            return False
+        lead = _lead(self.seen, a)
+        return not _OTHER_NUMBER.search(lead[max(0, len(lead) - (a - self.says[i])) :])
+
+
+def find(seen: str, given: frozenset[str], tagger: Tagger | None = None) -> list[Piece]:
+    """The pieces of a visible text, in order, none overlapping. given: given names in lower case. Names that neither a title nor a
+    known given name marks are the tagger's (None: names.base)."""
     out: list[Piece] = []
     taken: list[tuple[int, int]] = []  # in order, none overlapping
 
     def claim(kind: str | None, a: int, b: int) -> bool:
-        i = bisect.bisect_left(taken, (a, b))
-        if i < len(taken) and taken[i][0] < b or i > 0 and taken[i - 1][1] > a:
+        if not free(a, b):
             return False
-        taken.insert(i, (a, b))
+        bisect.insort(taken, (a, b))
         if kind:
             out.append(Piece(kind, a, b, seen[a:b]))
         return True
 
+    def free(a: int, b: int) -> bool:
+        i = bisect.bisect_left(taken, (a, b))
+        return not (i < len(taken) and taken[i][0] < b or i > 0 and taken[i - 1][1] > a)
+
     def end_of_taken(a: int, b: int) -> int:
         """Where the first claimed span ends that a refused one overlaps."""
         i = bisect.bisect_left(taken, (a, b))
@@ -219,8 +249,9 @@ def find(seen: str, given: frozenset[str]) -> list[Piece]:
             for m in rx.finditer(seen):
                 claim(None, *m.span())
     if digits > 5:  # the least of any pattern here
-        says = has(_ID_SIGNS) and _SAYS_ID.search(seen) is not None
-        near = lambda a: says and _said_before(seen, a)
+        said = Said(seen) if has(_ID_SIGNS) else None
+        says = said is not None and bool(said.says)
+        near = lambda a: says and said.before(a)
         for m in _NIR.finditer(seen):
             n = regex.sub(r"\D", "", m[0])
             if 1 <= int(m[4]) <= 12 and (near(m.start()) or _nir_key(n)) or near(m.start()) and len(n) in (13, 15):
@@ -255,16 +286,32 @@ def find(seen: str, given: frozenset[str]) -> list[Piece]:
     if digits > 8:
         for m in _PHONES.finditer(seen):
             n = sum(c.isdigit() for c in regex.split(r"(?i)[ ,]*(?:ext|x|poste|доб)", m[0])[0])
-            if 9 <= n <= 16 and not _SAYS_NUMBER.search(seen, max(0, m.start() - 24), m.start()):
+            if 9 <= n <= 16 and not _SAYS_NUMBER.search(_lead(seen, m.start())):
                 claim("PHONE", *m.span())
         for m in _BARE.finditer(seen):
-            if not _SAYS_NUMBER.search(seen, max(0, m.start() - 24), m.start()) or _SAYS_PHONE.search(seen, max(0, m.start() - 24), m.start()):
+            lead = _lead(seen, m.start())
+            if not _SAYS_NUMBER.search(lead) or _SAYS_PHONE.search(lead):
                 claim("PHONE", *m.span())
-    _names(seen, given, claim)
+    _names(seen, given, tagger or base(), claim, free)
     return sorted(out, key=lambda p: p.start)
 
 
-def _names(seen: str, given: frozenset[str], claim) -> None:
+def candidates(seen: str) -> list[tuple[int, int]]:
+    """The places of what looks like a name of two words or of an initial and a word; they may overlap."""
+    out = []
+    for m in _PAIR.finditer(seen, overlapped=True):
+        if m["last"].lower() not in _NO_LAST | _NOT_NAMES and m["first"].lower() not in _NO_FIRST | _NOT_NAMES and not (m["last"].isupper() and len(m["last"]) < 4 and (not m["first"].isupper() or len(m["last"]) < 3)):
+            out.append(m.span())  # RX, HD and the like are codes
+    for m in _INVERTED.finditer(seen, overlapped=True):
+        if m["last"].lower() not in _NO_FIRST and m["first"].lower() not in _NO_LAST:
+            out.append(m.span())
+    for m in _DOTTED.finditer(seen, overlapped=True):
+        if m["last"].lower() not in _NO_LAST:
+            out.append(m.span())
+    return out
+
+
+def _names(seen: str, given: frozenset[str], tagger: Tagger, claim, free) -> None:
     known = lambda w: w.lower() in given
 
     def shorter(name: str, titled: bool) -> str:
@@ -294,38 +341,38 @@ def _names(seen: str, given: frozenset[str], claim) -> None:
             claim("NAME", *m.span())
     for m in _PAIR.finditer(seen, overlapped=True):
         first, last = m["first"].lower(), m["last"].lower()
-        loud = m[0].isupper()
-        if last in _NO_LAST or first in _NO_FIRST and (loud or not known(first)):
+        up = m[0].isupper()
+        if last in _NO_LAST or first in _NO_FIRST and (up or not known(first)) or not known(first):
             continue
-        said = _SAID.match(seen, m.end())
-        if known(first) and not (loud and _loud_word(m, said)) or said and first not in _NO_FIRST and not (loud and said[0].isupper()):
-            claim("NAME", *m.span())
-    for m in _INVERTED.finditer(seen, overlapped=True):
-        if _SAID.match(seen, m.end()) and m["last"].lower() not in _NO_FIRST:
+        # In capitals, a given name that is a word as well isn't a name by itself.
+        if not (up and first in _ALSO_WORDS and (seen.isupper() or tagger.sure(seen, *m.span()) < LEAST)):
             claim("NAME", *m.span())
     for m in _DOTTED.finditer(seen, overlapped=True):
-        if m["last"].lower() not in _NO_LAST and (_SAID.match(seen, m.end()) or _NAME_ENDS.match(seen, m.end())):
+        if m["last"].lower() not in _NO_LAST and _NAME_ENDS.match(seen, m.end()):
             claim("NAME", *m.span())
+    # Of candidates that begin or end alike the longest stays, of others that overlap the surest. In a text in capitals a word's capital says nothing.
+    open_ = [(tagger.sure(seen, a, b), a, b) for a, b in candidates(seen) if free(a, b) and not loud(seen, a, b)]
+    likely = [x for x in open_ if x[0] >= LEAST]
+    widest = {a: max(b for _, x, b in likely if x == a) for _, a, _ in likely}
+    ends = {b: min(a for _, a, x in likely if x == b) for _, _, b in likely}
+    for _, a, b in sorted(likely, key=lambda x: (-x[0], x[1])):
+        if widest[a] == b and ends[b] == a:  # an initial and surname inside a longer name are part of it
+            claim("NAME", a, b)
 
 
 #: Given names that are words of a language of the texts as well (fixed values).
 _ALSO_WORDS = frozenset("may will mark rose sol".split())
 
 
-def _loud_word(m: regex.Match, said) -> bool:
-    """In capitals, a given name that is a word as well isn't a name by itself."""
-    return said is None and m["first"].lower() in _ALSO_WORDS
-
-
 # ---- operators -----------------------------------------------------------------------------------------------------------
 
 
-def pieces(text: str | None, given: frozenset[str]) -> list[Piece]:
+def pieces(text: str | None, given: frozenset[str], tagger: Tagger | None = None) -> list[Piece]:
     """The pieces of a text, with places in the text itself."""
     if not text:
         return []
     seen, at = visible(text)
-    found = find(seen, given)
+    found = find(seen, given, tagger)
     if at is None:
         return found
     return [Piece(p.kind, at[p.start], at[p.end - 1] + 1, text[at[p.start] : at[p.end - 1] + 1]) for p in found]
@@ -346,7 +393,7 @@ PIECES = "array<struct<pii_type:string,nth:int,start:int,end:int,piece:string>>"
 _ARROW = pa.list_(pa.struct([("pii_type", pa.string()), ("nth", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("piece", pa.string())]))
 
 
-def piece_column(df: DataFrame, text: Column, given: frozenset[str]) -> Column:
+def piece_column(df: DataFrame, text: Column, given: frozenset[str], tagger: Tagger | None = None) -> Column:
     """The pieces of a text in order; none, never null, for null, empty and blank texts. start and end count code points from 0, nth counts from 1 within a type."""
     ship_package(df.sparkSession)
 
@@ -356,7 +403,7 @@ def piece_column(df: DataFrame, text: Column, given: frozenset[str]) -> Column:
             for t in batch.to_pylist():
                 n: dict[str, int] = {}
                 row = []
-                for p in pieces(t, given):
+                for p in pieces(t, given, tagger):
                     n[p.kind] = n.get(p.kind, 0) + 1
                     row.append({"pii_type": p.kind, "nth": n[p.kind], "start": p.start, "end": p.end, "piece": p.text})
                 rows.append(row)
@@ -366,15 +413,12 @@ def piece_column(df: DataFrame, text: Column, given: frozenset[str]) -> Column:
     return F.arrow_udf(run, PIECES).asNondeterministic()(text.cast("string"))
 
 
-def detect(df: DataFrame, text: str, given: frozenset[str], out: str = "pieces") -> DataFrame:
+def detect(df: DataFrame, text: str, given: frozenset[str], out: str = "pieces", tagger: Tagger | None = None) -> DataFrame:
     """`df` with the column `out` of each text's pieces. Row by row over whole texts, without a shuffle."""
     df = spread(df)
-    return df.withColumn(out, piece_column(df, F.col(f"`{text}`"), given))
+    return df.withColumn(out, piece_column(df, F.col(f"`{text}`"), given, tagger))
 
 
 def with_placeholders(text: Column, found: Column, label=lambda p: p["pii_type"]) -> Column:
-    """The text with `[TYPE]` for each piece and otherwise unchanged; null stays null. Built-in expressions only."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, p: F.struct(p["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, p["start"] - acc["at"]), F.lit("["), label(p), F.lit("]")).alias("out"))
-    end = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(text.isNotNull(), F.aggregate(found, start, step, end))
+    """The text with `[TYPE]` for each piece and otherwise unchanged; null stays null. Built-in expressions only, in time that grows with the text."""
+    return F.when(F.size(found) > 0, replaced(text, found, "start", "end", lambda p: F.concat(F.lit("["), label(p), F.lit("]")))).otherwise(text)

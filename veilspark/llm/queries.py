@@ -11,8 +11,8 @@ from .bpe import encode_corpus, token_count
 from .langid import identify, wrong_or_mixed
 from .lookalike import consistent, learn, lookalike_pairs
 from .mixing import mix, token_table
-from .pii import detect, given_names, with_placeholders
-from .surrogate import with_surrogates
+from .pii import with_placeholders
+from .surrogate import pseudonymise, with_pieces
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,12 +36,15 @@ def _texts(spark: SparkSession, sf: str) -> DataFrame:
     return field(*_TEXTS[0]).unionByName(field(*_TEXTS[1]))
 
 
-def _pieces(spark: SparkSession, sf: str) -> DataFrame:
-    return detect(_texts(spark, sf), "text", given_names(table(spark, sf, "given_names")))
+def _pieces(spark: SparkSession, sf: str, keep_text: bool = True) -> DataFrame:
+    """The pieces of all texts with their surrogates."""
+    return pseudonymise(_texts(spark, sf), ["text_field", "row_id"], "text", table(spark, sf, "given_names"), _TEST_KEY, keep_text)
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return rows_of(_pieces(spark, sf), F.col("pieces"), "text_field", "row_id", item="p").select("text_field", "row_id", "p.pii_type", "p.nth")
+    """The pieces that get another text in their place."""
+    rows = rows_of(_pieces(spark, sf, keep_text=False), F.col("pieces"), "text_field", "row_id", item="p")
+    return rows.where(F.col("p.surrogate") != F.col("p.piece")).select("text_field", "row_id", "p.pii_type", "p.nth")
 
 
 def p4_clean(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,8 +52,7 @@ def p4_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_surrogates(spark: SparkSession, sf: str) -> DataFrame:
-    texts = _texts(spark, sf).select(F.concat_ws("/", "text_field", F.col("row_id").cast("string")).alias("row_key"), "text")
-    return with_surrogates(texts, "row_key", "text", table(spark, sf, "given_names"), _TEST_KEY)
+    return _pieces(spark, sf).select("text_field", "row_id", with_pieces(F.col("text"), F.col("pieces")).alias("text"))
 
 
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import rows_of
 from ..operators.skew import salted_left_join
-from ..session import checkpoint_dir, ship_package, spread
+from ..operators.spans import replaced
+from ..session import cut, discard, ship_package, spread
+from .names import Tagger, fit
 from .pii import _TYPES, given_names, pieces, visible
 
 #: Rounds of collision checks, which end when nothing collides. Mails, addresses and names get more surrogates with each attempt or every third;
@@ -38,7 +40,17 @@ def _bytes(key: bytes, *parts: object) -> Iterator[int]:
 
 
 def _script(word: str) -> str:
-    return "Cyrillic" if regex.search(r"\p{Cyrillic}", word) else "Latin"
+    """Latin or Cyrillic, which have syllables, or for other scripts their name in the character database."""
+    if regex.search(r"\p{Cyrillic}", word):
+        return "Cyrillic"
+    names = [U.name(c, "").split(" ")[0] for c in word if c.isalpha()]
+    return "Latin" if not names or "LATIN" in names else names[0]
+
+
+@functools.lru_cache(256)
+def _alphabet(script: str) -> list[str]:
+    """Small letters, or those without case, of a script: letters whose plain form they are."""
+    return [c for c in map(chr, range(0x80, 0x30000)) if U.category(c) in ("Ll", "Lo") and U.name(c, "").split(" ")[0] == script and "LETTER" in U.name(c) + ("LETTER" if script == "CJK" else "") and U.normalize("NFKD", c) == c and c.casefold() == c]
 
 
 def _like(new: str, old: str) -> str:
@@ -49,6 +61,9 @@ def _like(new: str, old: str) -> str:
 
 
 def _word(stream: Iterator[int], script: str, role: str, syllables: int) -> str:
+    if script not in _SYLLABLES:
+        letters = _alphabet(script) or _alphabet("GREEK")
+        return "".join(letters[(next(stream) * 65536 + next(stream) * 256 + next(stream)) % len(letters)] for _ in range(syllables if len(letters) > 1000 else 2 * syllables))
     parts, ends = _SYLLABLES[script]
     return "".join(parts[(next(stream) * 256 + next(stream)) % len(parts)] for _ in range(syllables)) + ends[role][next(stream) % len(ends[role])]
 
@@ -87,8 +102,13 @@ def units(kind: str, piece: str, given: frozenset[str]) -> list[str]:
         flat = regex.sub(r"(?i)\s?[\[({]?\s?(?:@|&#0*64;|&commat;|%40|\bat\b|arroba)\s?[\])}]?\s?", "@", seen, count=1)
         return ["EMAIL:" + fold(regex.sub(r"(?i)\s?[\[({]?\s?\b(?:dot|punkt|punto|point)\b\s?[\])}]?\s?", ".", flat)).replace(" ", "")]
     if kind == "PHONE":
-        digits = regex.sub(r"\D", "", regex.split(r"(?i)[ ,]*(?:ext|x|poste|доб)", seen)[0]).lstrip("0")
-        return ["PHONE:" + (digits[-10:] if len(digits) > 10 else digits)]
+        number = regex.split(r"(?i)[ ,]*(?:ext|x|poste|доб)", seen)[0].replace("(0)", "").strip()
+        digits = regex.sub(r"\D", "", number)
+        if regex.match(r"\(?(?:\+|00)", number):
+            return ["PHONE:+" + digits.lstrip("0")]
+        # North America's numbers are the same with and without their country's code; others' national forms stand for themselves.
+        plain_ = regex.fullmatch(r"1?([2-9]\d\d[2-9]\d{6})", digits)
+        return ["PHONE:+1" + plain_[1] if plain_ else "PHONE:" + digits]
     return [f"{kind}:" + regex.sub(r"[^\p{L}\p{N}]", "", fold(seen))]
 
 
@@ -118,17 +138,25 @@ def _initial(letter: str, key: bytes) -> str:
     return _initials(key, U.category(c), names[0]).get(c, c)
 
 
-def core(unit: str, key: bytes, attempt: int) -> str:
+def growth(units_: int) -> int:
+    """By how many syllables words get longer, so that their number stays far above that of the units: one for each 48 times 10,000."""
+    n = 0
+    while units_ > 10_000 * 48**n:
+        n += 1
+    return n
+
+
+def core(unit: str, key: bytes, attempt: int, grow: int = 0) -> str:
     """What a unit's surrogate is made of: a name's token in small letters, a seed else. attempt 0 unless the surrogate collides."""
     kind, _, rest = unit.partition(":")
     s = _bytes(key, unit, attempt)
     if kind == "NAME":
         role, _, token = rest.partition(":")
-        return _word(s, _script(token), gender(token) if role == "g" else "s", 3 + attempt // 3)
+        return _word(s, _script(token), gender(token) if role == "g" else "s", 3 + grow + attempt // 3)
     return "".join(f"{next(s):02x}" for _ in range(8))
 
 
-def replace(kind: str, piece: str, given: frozenset[str], key: bytes, attempts: dict[str, int]) -> str:
+def replace(kind: str, piece: str, given: frozenset[str], key: bytes, attempts: dict[str, int], grow: int = 0) -> str:
     """The surrogate of a piece, in its script, case and format. Numbers of persons begin with 9, which none issued does; addresses of mail end in example and a public ending."""
     seen = visible(piece)[0]
     if kind == "NAME":
@@ -142,7 +170,7 @@ def replace(kind: str, piece: str, given: frozenset[str], key: bytes, attempts:
             else:
                 unit = units("NAME", seen, given)
                 mine = [u for u in unit if u.split(":", 2)[1] == role and u.endswith(":" + "".join(c for c in U.normalize("NFD", token.casefold()) if not U.combining(c)))][0]
-                new = _like(core(mine, key, attempts.get(mine, 0)), token)
+                new = _like(core(mine, key, attempts.get(mine, 0), grow), token)
             out.append(new)
             at = m.end()
         return "".join(out) + seen[at:]
@@ -153,7 +181,7 @@ def replace(kind: str, piece: str, given: frozenset[str], key: bytes, attempts:
         m = regex.match(r"(?is)(.*?)(\s?[\[({]?\s?(?:@|&#0*64;|&commat;|%40|(?<=\s|[(\[{])at(?=\s|[)\]}]))\s?[\])}]?\s?)(.*)", seen)
         local, sep, domain = m.groups() if m else (seen, "@", "")
         dot = " dot " if regex.search(r"(?i)\sdot\s", domain) else "."
-        new = "".join(_like(_word(s, "Latin", "", 3 + attempt), x) if x.isalpha() else "".join(str(next(s) % 10) if c.isdigit() else c for c in x) for x in regex.findall(r"\p{L}+|\P{L}+", local))
+        new = "".join(_like(_word(s, "Latin", "", 3 + grow + attempt), x) if x.isalpha() else "".join(str(next(s) % 10) if c.isdigit() else c for c in x) for x in regex.findall(r"\p{L}+|\P{L}+", local))
         more = _word(s, "Latin", "", attempt // 3) + dot if attempt > 2 else ""  # names of digits alone have few
         return new + sep + more + "example" + dot + ("com", "net", "org")[next(s) % 3]
     if kind in ("PHONE", "IDENTITY"):
@@ -171,18 +199,18 @@ def replace(kind: str, piece: str, given: frozenset[str], key: bytes, attempts:
             else:
                 out.append(c)
         return "".join(out)
-    word = lambda m: m[0] if m[0].lower().strip(".") in _KEEP or len(m[0]) == 1 else _like(_word(s, _script(m[0]), "s", 2 + attempt // 3), m[0])
+    word = lambda m: m[0] if m[0].lower().strip(".") in _KEEP or len(m[0]) == 1 else _like(_word(s, _script(m[0]), "s", 2 + grow + attempt // 3), m[0])
     new = regex.sub(r"\p{L}+|\d", lambda m: str(next(s) % 9 + 1) if m[0].isdigit() else word(m), seen)
     more = "".join(str(next(s) % 9 + 1) for _ in range(attempt // 3))  # streets of one letter have few
     return regex.sub(r"\d", lambda m: m[0] + more, new, count=1) if regex.search(r"\d", new) else new + " " * bool(more) + more
 
 
-def written(unit: str, form: str, given: frozenset[str], key: bytes, attempt: int) -> str:
+def written(unit: str, form: str, given: frozenset[str], key: bytes, attempt: int, grow: int = 0) -> str:
     """By which distinctness is checked: what is written for a unit in one of its forms, folded as units are (see plain)."""
     kind = unit.partition(":")[0]
     if kind == "NAME":
-        return "NAME:" + core(unit, key, attempt).casefold()
-    return units(kind, replace(kind, form, given, key, {unit: attempt}), given)[0]
+        return "NAME:" + core(unit, key, attempt, grow).casefold()
+    return units(kind, replace(kind, form, given, key, {unit: attempt}, grow), given)[0]
 
 
 def plain(unit: Column) -> Column:
@@ -190,73 +218,105 @@ def plain(unit: Column) -> Column:
     return F.regexp_replace(unit, "^NAME:[a-z]:", "NAME:")
 
 
-def _forms(df: DataFrame, row_id: str, text: str, given: frozenset[str]) -> DataFrame:
-    """row_id, unit, form of each row's units: the form is the piece as it stands; names are replaced by token and have none."""
-    kind = pa.list_(pa.struct([("unit", pa.string()), ("form", pa.string())]))
+_FOUND = "array<struct<pii_type:string,nth:int,start:int,end:int,piece:string,units:array<string>>>"
+_FOUND_ARROW = pa.list_(pa.struct([("pii_type", pa.string()), ("nth", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("piece", pa.string()), ("units", pa.list_(pa.string()))]))
+
+
+def _mentions(text: Column, given: frozenset[str], tagger: Tagger) -> Column:
+    """The pieces of a text with the units that they are made of."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            found = [sorted({(u, "" if p.kind == "NAME" else p.text) for p in pieces(t, given) for u in units(p.kind, p.text, given)}) for t in b.to_pylist()]
-            yield pa.array([[{"unit": u, "form": f} for u, f in row] for row in found], kind)
+            rows = []
+            for t in b.to_pylist():
+                n: dict[str, int] = {}
+                row = []
+                for p in pieces(t, given, tagger):
+                    n[p.kind] = n.get(p.kind, 0) + 1
+                    row.append({"pii_type": p.kind, "nth": n[p.kind], "start": p.start, "end": p.end, "piece": p.text, "units": units(p.kind, p.text, given)})
+                rows.append(row)
+            yield pa.array(rows, _FOUND_ARROW)
 
-    made = F.arrow_udf(run, "array<struct<unit:string,form:string>>").asNondeterministic()
-    return rows_of(df.withColumn("_f", made(F.col(f"`{text}`").cast("string"))), F.col("_f"), row_id, item="f").select(row_id, "f.unit", "f.form")
+    # Named nondeterministic so that no use of its result evaluates it again.
+    return F.arrow_udf(run, _FOUND).asNondeterministic()(text.cast("string"))
 
 
-def _attempts(forms: DataFrame, given: frozenset[str], key: bytes) -> DataFrame:
+def _attempts(forms: DataFrame, given: frozenset[str], key: bytes, grow: int = 0) -> DataFrame:
     """unit, attempt of the units whose first surrogate, as it is written in any of the unit's forms, is that of another unit or is itself a unit of the texts. Others have attempt 0."""
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for us, fs, ats in batches:
-            yield pa.array([written(u, f, given, key, a) for u, f, a in zip(us.to_pylist(), fs.to_pylist(), ats.to_pylist())], pa.string())
+            yield pa.array([written(u, f, given, key, a, grow) for u, f, a in zip(us.to_pylist(), fs.to_pylist(), ats.to_pylist())], pa.string())
 
     made = F.arrow_udf(run, "string").asNondeterministic()
     tried = lambda df: df.withColumn("s", made("unit", "form", "attempt"))
     real = forms.select(plain(F.col("unit")).alias("s"), F.lit(True).alias("real")).distinct()
-    state = tried(forms.withColumn("attempt", F.lit(0))).checkpoint()
+    state = cut(tried(forms.select("unit", "form", F.lit(0).alias("attempt"))))
     for _ in range(ROUNDS):
         owners = state.groupBy("s").agg(F.min(F.struct("attempt", "unit")).alias("o"), F.min("unit").alias("least"), F.max("unit").alias("most"))
         clash = owners.join(real, "s", "left").where((F.col("least") != F.col("most")) | F.col("real")).select("s", F.when(F.col("real").isNull(), F.col("o.unit")).alias("owner"))
-        bad = state.join(clash, "s").where(~F.col("unit").eqNullSafe(F.col("owner"))).select("unit").distinct().checkpoint()
+        bad = cut(state.join(clash, "s").where(~F.col("unit").eqNullSafe(F.col("owner"))).select("unit").distinct())
         if bad.isEmpty():
             return state.where(F.col("attempt") > 0).select("unit", "attempt").distinct()
         moved = state.join(bad, "unit", "left_semi").select("unit", "form", (F.col("attempt") + 1).alias("attempt"))
-        state = state.join(bad, "unit", "left_anti").unionByName(tried(moved)).checkpoint()
+        before, state = state, cut(state.join(bad, "unit", "left_anti").unionByName(tried(moved)))
+        discard(before)
+        discard(bad)
     raise ValueError(f"surrogates still collide after {ROUNDS} rounds")
 
 
-def with_surrogates(df: DataFrame, row_id: str, text: str, names: DataFrame, key: bytes, out: str = "surrogate_text") -> DataFrame:
-    """row_id and the column `out`: the text with a keyed surrogate for each piece and otherwise unchanged; null stays null, a text without pieces stays as it is.
+#: So many later attempts go to every task with the plan; more are joined to the rows that need them.
+MOST_SHIPPED = 20_000
 
-    The surrogate follows from the key and the piece's units alone, so equal pieces are equal in all texts (and in later
-    ones under the same key). What is written for the units is checked for collisions over the whole table, and the few
-    units that collide get a later attempt, joined by unit; row_id must be unique.
+
+def pseudonymise(df: DataFrame, keys: list[str], text: str, names: DataFrame, key: bytes, keep_text: bool = True, tagger: Tagger | None = None) -> DataFrame:
+    """keys..., text (unless keep_text is false), pieces: the personal information in each text, in order, each piece with its keyed surrogate.
+
+    pieces: pii_type, nth (from 1 within a type), start and end (code points), piece, surrogate; none, never null, for null, empty and
+    blank texts. The surrogate follows from the key and the piece's units alone, so equal pieces are equal in all texts, and mentions
+    of one person share their words. What is written for the units is checked for collisions over the whole table, also with the
+    pieces themselves, and the units that collide get later attempts; words grow with the number of units. Each text is searched
+    once: the found pieces are written before they are compared. The keys must be unique; other columns are left out.
     """
     ship_package(df.sparkSession)
-    checkpoint_dir(df.sparkSession)
     given = given_names(names)
-    base = spread(df.select(F.col(row_id), F.col(f"`{text}`").alias("_t")))
-    found = _forms(base, row_id, "_t", given).checkpoint()
-    later = _attempts(found.select("unit", "form").distinct().checkpoint(), given, key)
-
-    def rewrite(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, us, ats in batches:
+    tagger = fit(df, text, given) if tagger is None else tagger
+    base_ = spread(df.select(*keys, F.col(f"`{text}`").alias("_t")))
+    found = cut(base_.select(*keys, *(["_t"] if keep_text else []), _mentions(F.col("_t"), given, tagger).alias("_f")))
+    one = rows_of(found, F.col("_f"), item="p").select(F.explode("p.units").alias("unit"), F.when(F.col("p.pii_type") == "NAME", "").otherwise(F.col("p.piece")).alias("form"))
+    forms = cut(one.distinct())
+    grow = growth(forms.select("unit").distinct().count())
+    later = cut(_attempts(forms, given, key, grow))
+    few = later.limit(MOST_SHIPPED + 1).collect()
+    shipped = {r["unit"]: r["attempt"] for r in few} if len(few) <= MOST_SHIPPED else {}
+
+    def surrogates(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for found_, us, ats in batches:
             rows = []
-            for t, u, a in zip(texts.to_pylist(), us.to_pylist(), ats.to_pylist()):
-                if t is not None:
-                    attempts, parts, at = dict(zip(u or [], a or [])), [], 0
-                    for p in pieces(t, given):
-                        parts += (t[at : p.start], replace(p.kind, p.text, given, key, attempts))
-                        at = p.end
-                    t = "".join(parts) + t[at:]
-                rows.append(t)
-            yield pa.array(rows, pa.string())
-
-    if later.isEmpty():
-        per_row = base.withColumn("_u", F.array().cast("array<string>")).withColumn("_a", F.array().cast("array<int>"))
+            for row, u, a in zip(found_.to_pylist(), us.to_pylist(), ats.to_pylist()):
+                attempts = dict(zip(u, a)) if u else shipped
+                rows.append([replace(p["pii_type"], p["piece"], given, key, attempts, grow) for p in row])
+            yield pa.array(rows, pa.list_(pa.string()))
+
+    if len(few) <= MOST_SHIPPED:
+        per_row = found.withColumn("_u", F.array().cast("array<string>")).withColumn("_a", F.array().cast("array<int>"))
     else:
-        used = found.select(row_id, "unit").distinct()
-        hit = salted_left_join(used, later, "unit", F.col(row_id)).where(F.col("attempt").isNotNull())
-        few = hit.groupBy(row_id).agg(F.collect_list("unit").alias("_u"), F.collect_list("attempt").alias("_a"))
-        per_row = base.join(few, row_id, "left")
-    return per_row.select(F.col(row_id), F.arrow_udf(rewrite, "string")("_t", "_u", "_a").alias(out))
+        row = F.struct(*keys).alias("_row")
+        used = rows_of(found, F.col("_f"), row, item="p").select("_row", F.explode("p.units").alias("unit")).distinct()
+        hit = salted_left_join(used, later, "unit", F.col("_row")).where(F.col("attempt").isNotNull())
+        own = hit.groupBy("_row").agg(F.collect_list("unit").alias("_u"), F.collect_list("attempt").alias("_a"))
+        per_row = found.withColumn("_row", F.struct(*keys)).join(own, "_row", "left").drop("_row")
+    done = per_row.withColumn("_s", F.arrow_udf(surrogates, "array<string>").asNondeterministic()("_f", "_u", "_a"))
+    piece = F.zip_with("_f", "_s", lambda p, s: F.struct(*[p[c].alias(c) for c in ("pii_type", "nth", "start", "end", "piece")], s.alias("surrogate")))
+    return done.select(*keys, *([F.col("_t").alias(text)] if keep_text else []), piece.alias("pieces"))
+
+
+def with_pieces(text: Column, found: Column) -> Column:
+    """The text with the surrogate of each piece in its place."""
+    return F.when(F.size(found) > 0, replaced(text, found, "start", "end", lambda p: p["surrogate"])).otherwise(text)
+
+
+def with_surrogates(df: DataFrame, row_id: str, text: str, names: DataFrame, key: bytes, out: str = "surrogate_text", tagger: Tagger | None = None) -> DataFrame:
+    """row_id and the column `out`: the text with the surrogate of each piece (see pseudonymise) and otherwise unchanged; null stays null, a text without pieces stays as it is."""
+    done = pseudonymise(df, [row_id], text, names, key, tagger=tagger)
+    return done.select(row_id, with_pieces(F.col(text), F.col("pieces")).alias(out))
