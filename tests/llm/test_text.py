@@ -323,3 +323,45 @@ def test_documents_labels_and_segments(spark):
     assert by[7].lang is None and by[8].langs == [] and by[9].segments == [] and 0 < by[1].confidence <= 1
     assert [(s.lang, s.n_sentences) for s in by[6].segments] == [("en", 2), ("de", 2)]
     assert langid.identify(docs.limit(0), codes).count() == 0
+
+
+def test_other_languages_are_rejected(spark):
+    from collections import Counter
+
+    judge = langid.Judge(langid.Profiles.bundle({k: Counter(langid.grams(v)) for k, v in langid.SEEDS.items()}), reject=True)
+    foreign = ["Yara kuruydu ve hemşire baktığında kapalıydı.", "Lütfen kullandığınız tüm ilaçların listesini getirin.", "Såret var torrt och stängt när sjuksköterskan tittade på det.", "Rana była sucha i zamknięta, kiedy pielęgniarka na nią spojrzała.", "Haava oli kuiva ja suljettu kun hoitaja katsoi sitä.", "A seb száraz volt és zárt, amikor az ápolónő megnézte.", "Η πληγή ήταν στεγνή και κλειστή.", "伤口干燥并且已经愈合了。"]
+    assert sum(judge.judge(s)[0] == "und" for s in foreign) >= 6
+    assert langid.sentences("伤口干燥并且已经愈合了。太短。") == ["伤口干燥并且已经愈合了。太短。"]
+    codes = spark.createDataFrame([("en", "eng", "English"), ("tr", "tur", "Turkish"), ("xq", "xqq", "Nowhere")], "lang string, iso3 string, english_name string")
+    turkish = ["Yara kuruydu ve hemşire baktığında kapalıydı.", "Lütfen kullandığınız tüm ilaçların listesini yanınızda getirin.", "Hasta bugün çok iyi ve evine gitmek istiyor.", "Doktor yarın sabah yine gelecek ve yaraya bakacak."]
+    rows = [(i, turkish[i % 4] + " " + turkish[(i + 1) % 4], "tr") for i in range(40)] + [(100, "Hemşire yarın hastanın ilaçlarını getirecek.", None), (101, foreign[4], "en"), (102, " ".join(SENTENCES["en"]), "en")]
+    judged = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), codes).collect()}
+    assert judged[100].lang == "tr" and judged[102].lang == "en" and judged[101].lang in ("und", "tr")
+    without = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows[40:], "doc_id long, text string, lang string"), codes).collect()}
+    assert without[100].lang == "und" and without[100].langs == [] and without[100].confidence == 0.0
+
+
+def test_sequences_follow_the_more_frequent_form(spark):
+    df = spark.createDataFrame([("ﬁ ﬁ ﬁ ﬁ",), ("ﬁx",), ("fix oﬀ off off",)], "t string")
+    t = lookalike.learn(df, "t")
+    f = lookalike.rewriter(t)
+    assert any(len(p) > 1 for p, _ in t.together) and f("fix") == f("ﬁx") == f("ｆix") == "ﬁx" and f("oﬀ") == f("off") == "off"
+    assert len({f(x) for x in ("ﬃ", "ﬀi", "fﬁ", "ffi")}) == 1 and all(f(f(x)) == f(x) for x in ("ﬃ", "ﬀi", "fﬁ", "ffi", "fix"))
+
+
+@pytest.mark.parametrize("pair", (lookalike.GREEK_SMALL + " " + lookalike.CHEROKEE + " " + lookalike.LISU + " " + lookalike.COPTIC_AND_DESERET + " " + lookalike.CYRILLIC + " " + lookalike.GREEK + " " + lookalike.ARMENIAN_AND_OTHERS).split())
+def test_every_letter_of_the_tables(table, pair):
+    f = lookalike.rewriter(table)
+    assert f(pair[0]) == f(pair[1])
+
+
+def test_groups_hold_the_pairs(spark, table):
+    rows = [(i, t) for i, t in enumerate(["Patient A", "Раtіent A", "Pаtient A", "b", "b", None, ""] + ["Patient A"] * 300)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    groups = lookalike.lookalike_groups(df, "id", "t", table).collect()
+    by = {}
+    for r in groups:
+        by.setdefault(r.class_id, []).append(r)
+    pairs = {(a.id, b.id) for rs in by.values() for a in rs for b in rs if a.id < b.id and a.string_id != b.string_id}
+    got = [tuple(r) for r in lookalike.lookalike_pairs(df, "id", "t", table).collect()]
+    assert len(groups) == 303 and set(got) == pairs and len(got) == len(pairs) == 301 * 2 + 1

@@ -133,7 +133,7 @@ def token_ids(spark: SparkSession, text: Column, folder: str = TOKENIZERS, vocab
             ids = [own.encode(x) for x in batch.to_pylist()]
             yield pa.array(ids, pa.list_(pa.int32()))
 
-    return F.arrow_udf(encode, "array<int>")(text.cast("string"))
+    return F.arrow_udf(encode, "array<int>").asNondeterministic()(text.cast("string"))
 
 
 def token_count(spark: SparkSession, text: Column, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> Column:
@@ -146,7 +146,7 @@ def token_count(spark: SparkSession, text: Column, folder: str = TOKENIZERS, voc
         for batch in batches:
             yield pa.array([len(own.encode(x)) for x in batch.to_pylist()], pa.int64())
 
-    return F.arrow_udf(count, "bigint")(text.cast("string"))
+    return F.arrow_udf(count, "bigint").asNondeterministic()(text.cast("string"))
 
 
 def encode_corpus(docs: DataFrame, text: str = "text", out: str = "ids", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:

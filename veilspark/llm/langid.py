@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import logging
 import unicodedata as U
 import zlib
 from collections import Counter
@@ -23,8 +25,11 @@ DIMENSIONS = 8192
 GRAMS = (3, 4)
 #: Labelled documents, at most, that refine the profiles: those with the least hash of doc_id.
 SAMPLE_DOCUMENTS = 2000
-#: Words of a whole sentence, at least.
-LEAST_WORDS = 3
+#: Words of a whole sentence, at least, or letters of a script without blanks between words.
+LEAST_WORDS, LEAST_LETTERS = 3, 6
+_NO_BLANKS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
+#: A sentence is in no known language if its best cosine is below the first of these, or below the second without being NEAR above the next.
+UNKNOWN, LEAST_COSINE, LIKELY_COSINE, NEAR = "und", 0.05, 0.068, 0.03
 #: A sentence whose best cosine isn't this much above the second is in no certain language.
 LEAST_MARGIN = 0.02
 REMEMBERED = 1 << 16
@@ -140,7 +145,7 @@ def sentences(text: str) -> list[str]:
 
 
 def _sentences(text: str) -> list[tuple[str, str]]:
-    """The whole sentences of a text, in order: at least LEAST_WORDS words and an end mark. Log lines, role marks, quote and
+    """The whole sentences of a text, in order: at least LEAST_WORDS words (LEAST_LETTERS letters where a script has no blanks) and an end mark. Log lines, role marks, quote and
     list marks, measurements, codes, addresses, placeholders and signatures are taken away first and are no sentences. Each with its plain words."""
     out = []
     if not text.isascii():
@@ -159,7 +164,7 @@ def _sentences(text: str) -> list[tuple[str, str]]:
                 s = _HEAD.sub("", s)
             if s and s.rstrip(_CLOSERS)[-1:] in _STOPS:
                 words = _words(s)
-                if sum(len(w) > 1 for w in words.split()) >= LEAST_WORDS:
+                if sum(len(w) > 1 for w in words.split()) >= LEAST_WORDS or len(_NO_BLANKS.findall(words)) >= LEAST_LETTERS:
                     out.append((s, _one_script_words(words)))
     return out
 
@@ -225,8 +230,8 @@ class Judge:
     """Cosines of texts with the prototypes. A text's vector is the bundle of its n-grams' vectors, so its product with a
     prototype is the sum of its n-grams' products, which are remembered; its length follows from the n-grams' counts, as their vectors are all but orthogonal."""
 
-    def __init__(self, profiles: Profiles):
-        self.p, self.space = profiles, Space()
+    def __init__(self, profiles: Profiles, reject: bool = False):
+        self.p, self.space, self.reject = profiles, Space(), reject
         self.start()
         self.known: dict[str, tuple[str, float, str, bool]] = {}
 
@@ -257,7 +262,8 @@ class Judge:
         return self.products(gs) / length
 
     def judge(self, sentence: str, words: str | None = None) -> tuple[str, float, str, bool]:
-        """The language, a confidence from 0 to 1, the next language, and whether the margin between them is large enough."""
+        """The language, or UNKNOWN if none is near enough (where `reject` is set), a confidence from 0 to 1, the next language, and whether the margin between them is large enough.
+        The confidence of UNKNOWN is 0."""
         key = plain(sentence) if words is None else words
         if key not in self.known:
             if len(self.known) > REMEMBERED:
@@ -265,8 +271,10 @@ class Judge:
             cos = self.cosines(sentence)
             first, second = np.argsort(cos)[[-1, -2]]
             e = np.exp((cos - cos[first]) * 40)
-            sure = float(cos[first] - cos[second]) >= LEAST_MARGIN
-            self.known[key] = (self.p.langs[first], round(float(1 / e.sum()), 4), self.p.langs[second], sure)
+            best, margin = float(cos[first]), float(cos[first] - cos[second])
+            sure = margin >= LEAST_MARGIN
+            far = self.reject and (best < LEAST_COSINE or best < LIKELY_COSINE and margin < NEAR)
+            self.known[key] = (UNKNOWN, 0.0, UNKNOWN, False) if far else (self.p.langs[first], round(float(1 / e.sum()), 4), self.p.langs[second], sure)
         return self.known[key]
 
 
@@ -279,7 +287,7 @@ def segments(judge: Judge, text: str | None, texts: bool = True) -> list[dict]:
     found = [(s, judge.judge(s, words)) for s, words in _sentences(text or "")]
     certain = {lang for _, (lang, _, _, far) in found if far}
     for s, (lang, sure, other, far) in found:
-        if not far and lang not in certain and other in certain:
+        if not far and lang != UNKNOWN and lang not in certain and other in certain:
             lang, sure = other, round(1 - sure, 4)
         if not out or out[-1]["lang"] != lang:
             out.append({"seg_no": len(out), "lang": lang, "confidence": 0.0, "n_sentences": 0, "n_chars": 0, "text": []})
@@ -293,6 +301,8 @@ def segments(judge: Judge, text: str | None, texts: bool = True) -> list[dict]:
     return out
 
 
+#: The table of languages is a short list; the log looks at so many.
+MOST_LANGUAGES = 1000
 #: Bibliographic codes of three letters that differ from those of lang_codes (fixed values).
 OTHER_ISO3 = {"ger": "de", "fre": "fr", "dut": "nl"}
 
@@ -313,8 +323,9 @@ def label_language(docs: DataFrame, codes: DataFrame, label: str = "lang", out:
 def fit(docs: DataFrame, codes: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Profiles:
     """Profiles from the seed words and from the sentences of at most `sample` labelled documents.
 
-    Labels may be wrong: a sentence counts for its document's label only if the seeds' profiles name the same language.
-    The n-gram counts of the sample, not its texts, come to the driver.
+    Labels may be wrong: a sentence counts for its document's label only if the seeds' profiles name the same language. A language
+    of lang_codes without seed words is learned from the sentences of the documents labelled with it that are in none of the others;
+    where there are none, it can't be named, and the log says so. The n-gram counts of the sample, not its texts, come to the driver.
     """
     ship_package(docs.sparkSession)
     seeds = {lang: Counter(grams(words)) for lang, words in SEEDS.items()}
@@ -323,11 +334,11 @@ def fit(docs: DataFrame, codes: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Pr
     chosen = known.select("doc_id", "label_lang", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).repartition(8, "doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge, n = Judge(first), Counter()
+        judge, stern, n = Judge(first), Judge(first, reject=True), Counter()
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for s in sentences(text):
-                    if s and judge.judge(s)[0] == lang:
+                    if s and (judge.judge(s)[0] == lang if lang in seeds else not stern.judge(s)[3]):
                         n.update((lang, g) for g in grams(s))
                         n[lang, ""] += 1
                     n[lang, None] += 1
@@ -340,7 +351,11 @@ def fit(docs: DataFrame, codes: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Pr
     for (lang, gram), n in seen.items():
         # A label under which most sentences are in another language teaches nothing.
         if gram and seen[lang, ""] * 2 >= seen[lang, None]:
-            counts[lang][gram] = counts[lang].get(gram, 0) + n
+            own = counts.setdefault(lang, {})
+            own[gram] = own.get(gram, 0) + n
+    named = {r[0] for r in codes.select(F.lower(trimmed(F.col("lang")))).limit(MOST_LANGUAGES).collect()}
+    if missing := sorted(x for x in named - counts.keys() if x):
+        logging.getLogger(__name__).warning("no seed words and no labelled sentences: %s can't be named", ", ".join(missing))
     return Profiles.bundle(counts, remember=True)
 
 
@@ -355,10 +370,11 @@ def segment_column(df: DataFrame, text: Column, profiles: Profiles, texts: bool
     langs, matrix, known, products = profiles.langs, profiles.matrix.tobytes(), "\n".join(profiles.grams), profiles.products.tobytes()
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        key = zlib.crc32(matrix).to_bytes(4, "big")
+        key = hashlib.sha256(matrix).digest()
         if key not in _judges:
+            _judges.clear()  # one at a time
             shaped = lambda b, width: np.frombuffer(b, np.float32).reshape(-1, width)
-            _judges[key] = Judge(Profiles(langs, shaped(matrix, DIMENSIONS), known.split("\n") if known else [], shaped(products, len(langs))))
+            _judges[key] = Judge(Profiles(langs, shaped(matrix, DIMENSIONS), known.split("\n") if known else [], shaped(products, len(langs))), reject=True)
         judge = _judges[key]
         for b in batches:
             yield pa.array([segments(judge, t, texts) for t in b.to_pylist()], _ARROW)
@@ -370,19 +386,20 @@ def segment_column(df: DataFrame, text: Column, profiles: Profiles, texts: bool
 def identify(docs: DataFrame, codes: DataFrame, profiles: Profiles | None = None, texts: bool = True) -> DataFrame:
     """doc_id, label_lang, lang, confidence, langs (of its whole sentences, sorted), segments (without their texts if `texts` is false).
 
-    lang is that of most sentence characters, ties by code, and confidence its segments' mean weighted by characters; both are null where no
+    lang is that of most sentence characters, ties by code, and confidence its segments' mean weighted by characters. Sentences in no
+    known language are segments of `und`, which is no member of langs; lang is `und` with confidence 0 where all are, and both are null where no
     sentence is. Row by row after fitting, without a shuffle; repeated rows are each judged; extra columns are dropped.
     """
     profiles = fit(docs, codes) if profiles is None else profiles
     held = label_language(spread(docs.select("doc_id", "lang", "text"), "doc_id"), codes).withColumn("segments", segment_column(docs, F.col("text"), profiles, texts)).select("doc_id", "label_lang", "segments")
-    per = F.transform(F.array_sort(F.array_distinct(F.transform("segments", lambda s: s["lang"]))), lambda lang: F.struct(
+    per = F.transform(F.array_sort(F.array_distinct(F.transform(F.filter("segments", lambda s: s["lang"] != UNKNOWN), lambda s: s["lang"]))), lambda lang: F.struct(
         F.aggregate(F.filter("segments", lambda s: s["lang"] == lang), F.lit(0), lambda n, s: n + s["n_chars"]).alias("n"), lang.alias("lang"),
         F.aggregate(F.filter("segments", lambda s: s["lang"] == lang), F.lit(0.0), lambda n, s: n + s["n_chars"] * s["confidence"]).alias("c")))
     held = held.withColumn("_per", per)
     top = F.element_at(F.array_sort("_per", lambda a, b: F.when(a["n"] != b["n"], b["n"] - a["n"]).when(a["lang"] < b["lang"], -1).otherwise(1)), 1)
     some = F.size("_per") > 0
     held = held.withColumn("_top", F.when(some, top))
-    return held.select("doc_id", "label_lang", F.col("_top.lang").alias("lang"), F.round(F.try_divide("_top.c", "_top.n"), 4).alias("confidence"), F.transform("_per", lambda p: p["lang"]).alias("langs"), "segments")
+    return held.select("doc_id", "label_lang", F.coalesce("_top.lang", F.when(F.size("segments") > 0, F.lit(UNKNOWN))).alias("lang"), F.coalesce(F.round(F.try_divide("_top.c", "_top.n"), 4), F.when(F.size("segments") > 0, F.lit(0.0))).alias("confidence"), F.transform("_per", lambda p: p["lang"]).alias("langs"), "segments")
 
 
 def wrong_or_mixed(judged: DataFrame) -> DataFrame:

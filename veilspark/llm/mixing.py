@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.keys import norm_key
-from ..session import checkpoint_dir, spread
+from ..session import cut, spread
 
-#: Buckets of a source's shuffled texts, and slices of virtual time; running sums go by bucket first, then within it.
-BUCKETS, SLICES = 4096, 4096
+#: Running sums go by bucket of a source's shuffled texts, or slice of virtual time, first, and then within it; as many of them as leave so many rows for each.
+ROWS_A_BUCKET = 100_000
 #: The table of targets is a list of sources made by hand; it comes to the driver, and more rows than this are an error.
 MOST_SOURCES = 10_000
 
@@ -59,31 +59,36 @@ def mix(texts: DataFrame, targets: DataFrame, seed: int = 17) -> tuple[DataFrame
     small = F.broadcast(spark.createDataFrame([(r["source"], r["w"], int(r["rep"])) for r in want], "source string, w double, rep int"))
     docs = texts.select("doc_id", norm_key(F.col("source")).alias("source"), "text_key", F.col("tokens").cast("long").alias("tokens")).join(small, "source")
     budget = docs.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("b")).first()["b"]
-    unique = docs.where(F.col("tokens") > 0).groupBy("text_key").agg(F.min_by(F.struct("doc_id", "source", "tokens", "w", "rep"), "doc_id").alias("d")).select("d.*")
-    held = {r["source"]: r["t"] for r in unique.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
+    best = docs.where(F.col("tokens") > 0).groupBy("text_key").agg(F.min_by(F.struct("doc_id", "source", "tokens", "w", "rep"), "doc_id").alias("d")).select("d.*")
+    unique = cut(best.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id")))  # read for the sums and for the queue
+    sums = {r["source"]: (r["t"], r["n"]) for r in unique.groupBy("source").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()}
+    held = {k: t for k, (t, _) in sums.items()}
     plan = [{"weight": r["w"], "capacity": held.get(r["source"], 0) * r["rep"]} for r in want]
     end = _virtual_end(plan, budget)
 
-    shuffled = unique.where((F.col("w") > 0) & (F.col("rep") > 0)).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("_b", F.pmod(F.shiftrightunsigned("_h", 20), F.lit(BUCKETS)))
-    placed = _running(shuffled, ["source"], "_b", ["_h", "doc_id"], "tokens")
+    buckets = max([n for _, n in sums.values()], default=0) // ROWS_A_BUCKET + 1
+    # The hash's upper 40 bits in `buckets` equal parts, so that buckets are in the order of the hash.
+    top = F.shiftrightunsigned("_h", 24)
+    shuffled = unique.where((F.col("w") > 0) & (F.col("rep") > 0)).withColumn("_b", F.floor(top * F.lit(buckets) / F.lit(float(1 << 40))))
+    placed = _running(shuffled.withColumn("_top", top), ["source"], "_b", ["_top", "_h", "doc_id"], "tokens")
     totals = F.broadcast(spark.createDataFrame(list(held.items()), "source string, held long"))
     rounds = placed.join(totals, "source").withColumn("use_no", F.explode(F.sequence(F.lit(0), F.col("rep") - 1)))
     queue = rounds.withColumn("finish", (F.col("use_no") * F.col("held") + F.col("before") + F.col("tokens")) / F.col("w")).select("doc_id", "source", "use_no", "tokens", "finish")
     # Past twice the virtual end nothing is taken, as every source still has its share or is used up by then.
-    queue = queue.where(F.col("finish") <= 2 * end + 1e-9).withColumn("_slice", F.floor(F.col("finish") / end * SLICES))
-    sorted_ = _running(queue.withColumn("_all", F.lit(0)), ["_all"], "_slice", ["finish", "source", "doc_id", "use_no"], "tokens")
-    cut = sorted_.withColumn("cum_tokens", F.col("before") + F.col("tokens")).where(F.col("cum_tokens") <= budget).select("doc_id", "source", "use_no", "tokens", "finish", "cum_tokens")
-    per = cut.groupBy("source", "doc_id").agg(F.sum("tokens").alias("t"), F.count("*").alias("u")).groupBy("source").agg(F.sum("t").alias("tokens"), F.sum("u").alias("uses"), F.count("*").alias("texts"), F.max("u").alias("max_uses"))
+    queue = cut(queue.where(F.col("finish") <= 2 * end + 1e-9))  # both levels of the sums read it
+    slices = queue.count() // ROWS_A_BUCKET + 1
+    sorted_ = _running(queue.withColumn("_all", F.lit(0)).withColumn("_slice", F.floor(F.col("finish") / end * slices)), ["_all"], "_slice", ["finish", "source", "doc_id", "use_no"], "tokens")
+    order = cut(sorted_.withColumn("cum_tokens", F.col("before") + F.col("tokens")).where(F.col("cum_tokens") <= budget).select("doc_id", "source", "use_no", "tokens", "finish", "cum_tokens"))  # the mix and its shares read it
+    per = order.groupBy("source", "doc_id").agg(F.sum("tokens").alias("t"), F.count("*").alias("u")).groupBy("source").agg(F.sum("t").alias("tokens"), F.sum("u").alias("uses"), F.count("*").alias("texts"), F.max("u").alias("max_uses"))
     total = per.agg(F.sum("tokens").alias("total"))
     none = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     shares = small.join(per, "source", "left").select(
         "source", F.col("w").alias("target_share"), F.coalesce(F.try_divide("tokens", total.scalar()), F.lit(0.0)).alias("actual_share"),
         none("tokens"), none("uses"), none("texts"), none("max_uses"), F.lit(budget).cast("long").alias("budget"),
     )
-    return cut, shares
+    return order, shares
 
 
 def token_table(docs: DataFrame, tokens, text: str = "text") -> DataFrame:
     """doc_id, source, text_key and tokens of each document, cut from its lineage in the shared folder: texts are encoded once."""
-    checkpoint_dir(docs.sparkSession)
-    return spread(docs.select("doc_id", "source", text)).select("doc_id", "source", F.sha2(F.col(text), 256).alias("text_key"), tokens.alias("tokens")).checkpoint()
+    return cut(spread(docs.select("doc_id", "source", text)).select("doc_id", "source", F.sha2(F.col(text), 256).alias("text_key"), tokens.alias("tokens")))

@@ -9,7 +9,7 @@ from ..functions.arrays import rows_of
 from ..sources.tables import table
 from .bpe import encode_corpus, token_count
 from .langid import identify, wrong_or_mixed
-from .lookalike import consistent, learn, lookalike_pairs
+from .lookalike import consistent, learn, lookalike_groups, lookalike_pairs
 from .mixing import mix, token_table
 from .pii import with_placeholders
 from .surrogate import pseudonymise, with_pieces
@@ -20,6 +20,11 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("request_id_a"), F.col("id_b").alias("request_id_b"))
 
 
+def p1_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Each payload that has a look-alike, with its class."""
+    return lookalike_groups(table(spark, sf, "scrub_requests"), "request_id", "payload").withColumnRenamed("id", "request_id")
+
+
 def p1_consistent(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "scrub_requests")
     return df.select("request_id", consistent(df, F.col("payload"), learn(df, "payload")).alias("payload"))
@@ -90,7 +95,7 @@ def p8_segments(spark: SparkSession, sf: str) -> DataFrame:
     return rows_of(_judged(spark, sf, True), F.col("segments"), "doc_id", item="s").select("doc_id", "s.*")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p4_found, p4_clean, p4_surrogates, p6_ids, p7_mix, p7_shares, p8_found, p8_documents, p8_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p1_consistent, p4_found, p4_clean, p4_surrogates, p6_ids, p7_mix, p7_shares, p8_found, p8_documents, p8_segments)}
 
 #: None: no SQL has the tables of look-alikes, the merges, the queue or the profiles. tests/llm compares with brute force instead.
 ORACLE: dict[str, str] = {}
