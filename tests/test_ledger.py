@@ -138,3 +138,25 @@ def test_quality_and_quantiles(spark):
     got = {r.g: (r.p50, r.p95) for r in evaluate.index_quantile(df, ["g"], "v", {"p95": 0.95}).collect()}
     s = sorted(values)
     assert got["a"] == ((s[54] + s[55]) / 2, s[int(110 * 0.95)]) and got["b"] == (1.5, 2.0)
+
+
+def test_appended_chains_are_those_issued_at_once(spark):
+    rows = [(f"c{i % 3}", f"t{i}", f"2025-01-01T00:00:{i:02d}+00:00", ["B", "A"] if i % 2 else None, None if i % 5 else ["A", "B"], i, None, None, i) for i in range(30)]
+    schema = "chain_id string, transaction_id string, issued_at string, detected array<string>, redacted array<string>, char_in int, char_out int, downstream_target string, seq int"
+    events = spark.createDataFrame(rows, schema)
+    whole = attest.issue(events, KEY, ["seq"])
+    first = attest.issue(events.where("seq < 11 and chain_id <> 'c2'"), KEY, ["seq"])
+    first = spark.createDataFrame(first.collect(), first.schema)
+    second = attest.issue(events.where("seq >= 11 or chain_id = 'c2'"), KEY, ["seq"], after=attest.heads(first))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, first.unionByName(second).collect()))
+    both = spark.createDataFrame(whole.collect(), whole.schema)
+    assert all(r.valid for r in attest.verify(both, KEY).collect())
+    assert {(tuple(r.pii_classes_detected), r.zero_pii_egress_confirmed) for r in whole.collect()} == {(("B", "A"), False), ((), True), ((), False), (("B", "A"), True)}
+
+
+def test_hook_header_of_ones_own(chain):
+    events = attest.event_payload(chain)
+    takes = lambda name, value: lambda u, b, h, t: 204 if h.get(name) == value else 401
+    assert {r.sent for r in dispatch(events, "http://x", token="abc", header="X-Api-Key", send=takes("X-Api-Key", "abc")).collect()} == {True}
+    assert {r.sent for r in dispatch(events, "http://x", token="abc", prefix="Splunk ", send=takes("Authorization", "Splunk abc")).collect()} == {True}
+    assert {r.sent for r in dispatch(events, "http://x", token="abc", send=takes("X-Api-Key", "abc")).collect()} == {False}

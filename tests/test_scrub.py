@@ -153,3 +153,33 @@ def test_very_long_texts(spark, unit):
 def test_mail_domains_of_any_number_of_labels(spark):
     for n in (21, 22, 60, 20_000):
         assert run(spark, [f"to a.b@{'x.' * n}zz now"])[0][0] == "to [REDACTED_EMAIL] now"
+
+
+def test_named_entities_by_rules(spark):
+    cases = [
+        ("Patient Jane Doe (DOB March 15, 1982) SSN 123-45-6789. Phone 555-123-4567, email jane.doe@clinic.org, portal https://portal.clinic.org, workstation IP 192.168.0.44.",
+         {"HIPAA_SSN": 1, "HIPAA_PHI_PHONE": 1, "HIPAA_PHI_EMAIL": 1, "HIPAA_PHI_IP": 1, "HIPAA_PHI_PERSON": 1, "HIPAA_PHI_DATE": 1, "HIPAA_PHI_URL": 1}),
+        ("Contact Jane Doe at jane.doe@example.com.", {"HIPAA_PHI_PERSON": 1, "HIPAA_PHI_EMAIL": 1}),
+        ("Herr Dr. J. Müller-Lüdenscheid wohnt hier", {"HIPAA_PHI_PERSON": 1}),
+        ("seen at St. Mary's Hospital on 12/05/2024", {"HIPAA_PHI_ORG": 1, "HIPAA_PHI_DATE": 1}),
+        ("lives at 12 N. Old Mill Road, Springfield, IL 62701 now", {"HIPAA_PHI_ADDRESS": 1}),
+        ("Frau Dr. [REDACTED_PERSON] called; the patient may go", {}),
+    ]
+    for (text, flags), (clean, got, log) in zip(cases, run(spark, [c[0] for c in cases])):
+        assert got == flags, text
+        assert "][REDACTED_" not in clean
+    assert run(spark, [cases[3][0]])[0][2].flags_triggered["HIPAA_PHI_ORG"].cfr_citation is None
+
+
+@pytest.mark.parametrize("unit", ["Aa ", "Aa-", "Dr Aa ", "Aa Bb of ", "12 Aa Bb ", "x.", "Ab, AB 1", "555-867-5309 "])
+def test_time_grows_with_the_text(spark, unit):
+    import time
+
+    run(spark, ["warm 555-867-5309"])
+    began = time.monotonic()
+    clean, _, _ = run(spark, [unit * 4_000])[0]
+    assert clean is not None and time.monotonic() - began < 30
+
+
+def test_hosts_of_any_number_of_labels(spark):
+    assert run(spark, [f"see {'x_y.' * 60}com now"])[0][0] == "see [REDACTED_URL] now"

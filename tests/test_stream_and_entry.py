@@ -79,3 +79,55 @@ def test_small_results_are_whole_or_an_error(spark, tmp_path):
     assert not path.exists()
     write_results(rows.limit(1000), str(path))
     assert path.read_text().count("tool") == 1000 and evaluate.report(rows.limit(1000)).splitlines().count("|") == 1000
+
+
+def test_hook_failures_are_reported(spark):
+    seen = []
+    write = streams.webhook_writer("http://x", report=lambda n, counts: seen.append((n, counts)), send=lambda u, b, h, t: 500)
+    write(spark.createDataFrame([("r1",), ("r2",)], "receipt_id string"), 7)
+    assert seen == [(7, {False: 2})]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch, tmp_path):
+    from veilspark import session
+
+    class Context:
+        def __init__(self, master, folder=None):
+            self.master, self.folder = master, folder
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    class Session:
+        def __init__(self, master, named=None):
+            self.sparkContext = Context(master)
+            self.conf = type("C", (), {"get": lambda _, k, d=None: named})()
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="share"):
+            session.checkpoint_dir(Session(master))
+        assert session.checkpoint_dir(Session(master, "hdfs://x/y")) == "hdfs://x/y"
+    assert session.checkpoint_dir(Session("local[4]")).startswith("file://")
+    df = session.cut(spark.range(3))
+    import os
+
+    path = df._veilspark_path.removeprefix("file:")
+    assert df.count() == 3 and os.path.isdir(path)
+    session.discard(df)
+    assert not os.path.isdir(path)
+
+
+def test_the_report_has_its_sections(spark):
+    tools = evaluate.other_tools(spark)
+    own = spark.createDataFrame([("own", 1.0, 1.0, 1.0, "local", True, True, False)], evaluate.TOOL)
+    text = evaluate.report(evaluate.report_rows(own, tools), evaluate.capability_rows(own.unionByName(tools)), [r.tool for r in own.unionByName(tools).select("tool").collect()])
+    assert [x for x in text.splitlines() if x.startswith("## ")] == ["## Method", "## Detected", "## Comparison", "## Capabilities"]
+    assert "| No data leaves | ❌ | ❌ | ❌ | ✅ | ✅ |" in text
+
+
+def test_without_a_library_of_its_own_the_core_stands(tmp_path):
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); assert 'p3_found' in q and 'p6_ids' not in q"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=importlib.import_module("os").path.dirname(importlib.import_module("__spark_entry__").__file__))

@@ -22,7 +22,8 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: A small letter or one without case, and a word with a capital: digits of other scripts count as letters, as in a word's borders.
 _SMALL = r"[\p{L}\p{N}&&[^\p{Lu}0-9]]"
 _CAP = rf"\p{{Lu}}{_SMALL}[\p{{L}}\p{{N}}&&[^0-9]]*+"
-_NAME = rf"{_CAP}(?:['-]{_CAP})*"
+#: Possessive, so that the engine needs no stack for a long one; each part ends where a word does.
+_NAME = rf"{_CAP}(?:['-]{_CAP}{_E})*+"
 _W = r"[\p{L}\p{N}_]"
 #: What a person's name follows (fixed values), months and days, ends of names of organisations and of streets.
 CUES = "Mr|Mrs|Ms|Miss|Dr|Prof|Professor|Doctor|Nurse|Patient|Contact|Caller|Attn|Name|Signed|Sincerely|Regards|Herr|Frau|Mme|Madame|Monsieur|Docteur|Sr|Sra"
@@ -35,7 +36,7 @@ _ZIP = r"\p{Lu}{2} \d{5}(?:-\d{4})?"
 RULES = {
     "PHONE_NUMBER": r"(?:\+1[-. ]?)?(?:\(\d{3}\) ?|" + _B + r"\d{3}[-. ])\d{3}[-. ]\d{4}" + _E,
     "EMAIL_ADDRESS": r"(?:\G|(?<![\p{L}\p{N}_.+-]))[\p{L}\p{N}_.+-]++@[\p{L}\p{N}_-]++(?:\.[\p{L}\p{N}_-]++)++",
-    "URL": r"https?://[^\s<>\"',;]*[^\s<>\"',;.!?)]|" + rf"(?<!{_W})(?<!{_W}[.-])(?:[\p{{L}}\p{{N}}_-]++\.)+(?:com|org|net|edu|gov|io)" + _E,
+    "URL": r"https?://[^\s<>\"',;]*[^\s<>\"',;.!?)]|" + rf"(?<!{_W})(?<!{_W}[.-]{{1,4}}){_W}[\p{{L}}\p{{N}}_.-]*\.(?:com|org|net|edu|gov|io)" + _E,
     "IP_ADDRESS": _B + rf"(?:{_OCTET}\.){{3}}{_OCTET}" + _E,
     "US_BANK_NUMBER": _B + r"\d{8,17}" + _E,
     "LOCATION": rf"(?:^|[^\p{{L}}\p{{N}}_'-])(\d{{1,6}} (?:[NSEW]\.? )?(?:{_NAME} ){{1,3}}(?:{STREETS}){_E}(?:(?:,? (?:Apt|Suite|Unit)\.? [\p{{L}}\p{{N}}]{{1,8}})?,? {_NAME}(?: {_NAME}){{0,2}}, {_ZIP}{_E})?|{_NAME}(?: {_NAME}){{0,2}}, {_ZIP}{_E})",

@@ -225,7 +225,7 @@ _ZIP2 = r"[A-Z]{2} \d{5}(?:-\d{4})?"
 _RE2 = {
     "PHONE": r"(?:\+1[-. ]?)?(?:\(\d{3}\) ?|\b\d{3}[-. ])\d{3}[-. ]\d{4}\b",
     "EMAIL": r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+",
-    "URL": r"""https?://[^\s<>"'',;]*[^\s<>"'',;.!?)]|\b(?:[\w-]+\.)+(?:com|org|net|edu|gov|io)\b""",
+    "URL": r"""https?://[^\s<>"'',;]*[^\s<>"'',;.!?)]|\b\w[\w.-]*\.(?:com|org|net|edu|gov|io)\b""",
     "IP": rf"\b(?:{_O}\.){{3}}{_O}\b",
     "BANK_NUMBER": r"\b\d{8,17}\b",
     "ADDRESS": rf"(?:^|[^\w''-])(\d{{1,6}} (?:[NSEW]\.? )?(?:{_NAME2} ){{1,3}}(?:{detect.STREETS})\b(?:(?:,? (?:Apt|Suite|Unit)\.? [0-9A-Za-z]{{1,8}})?,? {_NAME2}(?: {_NAME2}){{0,2}}, {_ZIP2}\b)?|{_NAME2}(?: {_NAME2}){{0,2}}, {_ZIP2}\b)",
